@@ -8,8 +8,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: White space that separates words in the text contracts: space and U+0009 to U+000D.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -53,9 +53,6 @@ def ship(spark: SparkSession) -> None:
     sc._shelfcast_shipped = True
 
 
-def count_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(SPACE_WORD))
-
-
-def tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def plus(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """The schema of df with one more column."""
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import bpe_tree, line_dedup, packing, quality_rules, sharding
+from shelfcast.llm import bpe_tree, license_scan, line_dedup, packing, quality_fm, quality_rules, sharding, simhash
 from shelfcast.llm.common import table
 
 PACKING = packing.Packing(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -22,10 +22,22 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), PACKING)
 
@@ -37,7 +49,10 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
+    "op3_license_scan": op3_license_scan,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
+    "op8_simhash": op8_simhash,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_bpe_tree": op10_bpe_tree,
 }
