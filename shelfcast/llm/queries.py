@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfcast.llm import bpe_tree, license_scan, line_dedup, packing, permutation_index, quality_fm, quality_rules, sharding, simhash
+from shelfcast.llm import bpe_tree, html_wrapper, license_scan, line_dedup, packing, permutation_index, quality_fm, quality_rules, sharding, simhash
 from shelfcast.llm.common import table
 
 PACKING = packing.Packing(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -38,6 +38,10 @@ def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op7_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_permutation_index": op6_permutation_index,
+    "op7_html_wrapper": op7_html_wrapper,
     "op8_simhash": op8_simhash,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_bpe_tree": op10_bpe_tree,
