@@ -234,7 +234,7 @@ def fixed(column: str, places: int) -> Column:
     rest = product - whole
     up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(whole, F.lit(2)) == 1))))
     digits = F.format_string(f"%.{places}f", (whole + up.cast("long")) / F.lit(ten))
-    return F.coalesce(F.concat(F.when(F.col(column) < 0, "-").otherwise(""), digits), F.lit("—"))
+    return F.when(F.col(column).isNull(), "—").otherwise(F.concat(F.when(F.col(column) < 0, "-").otherwise(""), digits))
 
 
 def protocol_segments(spark: SparkSession, folds: Sequence[Fold]) -> DataFrame:
