@@ -56,7 +56,7 @@ def _windows(docs: DataFrame, how: LineDedup) -> DataFrame:
 
 
 def repeats(docs: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
-    """For each document (d, t) with repeated runs: the sorted places of the lines to delete.
+    """For each document (d, t) with repeated runs: the sorted places from the first to the last line of each.
 
     1. Winnowing. A line's window is the shortest run of lines from it, onwards or back, that has how.min_words words.
        The least line hash of each window is selected, so any two equal windows select the same line.
@@ -91,7 +91,7 @@ def dedup(docs: DataFrame, how: LineDedup = LineDedup()) -> DataFrame:
     keyed = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("l")
     dead = repeats(docs, how).select(F.col("d").alias("__d"), F.col("t").alias("__u"), F.col("dead").alias("__dead")).alias("r")
     joined = keyed.join(dead, F.col("l.doc_id").cast("long").eqNullSafe(F.col("r.__d")) & (F.col("l.__t") == F.col("r.__u")), "left")
-    kept = F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.cast("int").alias("i"))), lambda x: ~F.array_contains("r.__dead", x["i"]))["x"], "\n")
+    kept = F.concat_ws("\n", F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("x"), i.cast("int").alias("i"))), lambda x: ~(F.array_contains("r.__dead", x["i"]) & x["x"].rlike(SPACE_WORD)))["x"])
     new = F.when(F.col("r.__dead").isNull() | text.isNull(), text).otherwise(kept)
     return joined.select(*[new.alias(c) if c == "text" else F.col(f"l.`{c}`") for c in docs.columns])
 
