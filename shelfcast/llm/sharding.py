@@ -18,7 +18,7 @@ class Sharding:
 
 
 def _ranked(df: DataFrame, group: list[Column], bucket: Column, order: list[Column], name: str) -> DataFrame:
-    """Adds the rank (from 0) of each row within its group, by bucket and then by order.
+    """Adds the rank (from 0) of each row within its group by order, along which bucket must rise.
 
     Rows are counted by bucket, the counts are summed up in bucket order, and only rows of one bucket are ranked
     together. So a group of any size is spread over as many tasks as it has buckets.
@@ -53,14 +53,13 @@ def interleave(docs: DataFrame, how: Sharding = Sharding()) -> DataFrame:
         F.col("source").cast("string").alias("source"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-    ).withColumn("_key", F.xxhash64(F.lit(how.seed), "doc_id", "text_crc32", "size"))
+    ).withColumn("_key", F.shiftrightunsigned(F.xxhash64(F.lit(how.seed), "doc_id", "text_crc32", "size"), 1))
     tie = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    by_source = _ranked(rows, [F.col("source")], F.pmod(F.shiftrightunsigned("_key", 40), F.lit(how.buckets)).cast("int"), [F.col("_key"), *tie], "_r")
+    by_source = _ranked(rows, [F.col("source")], F.shiftright(F.shiftright("_key", 32) * how.buckets, 31).cast("int"), [F.col("_key"), *tie], "_r")
     share = (2 * F.col("_r") + 1).cast("double") / (2 * F.col("_r_total")).cast("double")
     spread = by_source.withColumn("_share", share)
     bucket = F.least(F.floor(F.col("_share") * how.buckets), F.lit(how.buckets - 1)).cast("int")
     placed = _ranked(spread, [], bucket, [F.col("_share"), F.col("source"), F.col("_key"), *tie], "_p")
-    shard = F.floor(F.col("_p") * how.shards / F.col("_p_total"))
     shard = F.expr(f"(_p * {how.shards}) div _p_total")
     # The first place of shard s is the least p with p * shards >= s * total.
     first = F.expr(f"(_s * _p_total + {how.shards - 1}) div {how.shards}")
