@@ -125,7 +125,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, how: Ma
     prior = float(np.clip(labels.mean(), 0.01, 0.99)) if len(labels) else 0.5
     w = Weights(float(np.log(prior / (1 - prior))), np.zeros(size), rng.normal(0, 0.01, (size, how.factors)))
     if len(set(labels.tolist())) < 2:
-        return w
+        return Weights(w.bias, w.linear, np.zeros_like(w.factors))
     first, second = np.zeros((size, how.factors + 1)), np.zeros((size, how.factors + 1))
     step = 0
     for _ in range(how.epochs):
@@ -205,7 +205,7 @@ def classify(docs: DataFrame, labels: DataFrame, how: Machine = Machine()) -> Da
     labels needs doc_id and quality (1 good, 0 bad); null labels and null ids don't teach, and of several labels of
     one id the least holds. Labels, language, source and id are never inputs. A null doc_id isn't held out. Empty and
     null texts are scored by their statistics. Equal texts with equal metadata get equal scores. Without labels of
-    both kinds all scores are the labels' share of ones, or 0.5. Other columns of docs are ignored.
+    both kinds all scores are the labels' share of ones (kept from 0.01 to 0.99), or 0.5. Other columns of docs are ignored.
     """
     weights = fit(docs, labels, how)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(["n_chars"] if "n_chars" in docs.columns else []))
