@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm.common import SPACE_WORD
 
-N = "_q_"
 SYMBOLS = r"[#*$%&|<>]"
 
 
@@ -30,11 +30,11 @@ class Rules:
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: true for a text that the rule rejects. cost: work units of one row, as a column over its statistics."""
+    """rejects, cost: of a text's statistics x (fields text, words, n, chars, symbols, shouts), whether the rule rejects it and its work units."""
 
     name: str
-    rejects: Column
-    cost: Column
+    rejects: Callable[[Column], Column]
+    cost: Callable[[Column], Column]
 
 
 def _words(text: Column) -> Column:
@@ -78,31 +78,34 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def statistics(docs: DataFrame, text: str = "text", how: Rules = Rules()) -> DataFrame:
-    """docs with the statistics that the rules read, in columns that start with _q_; other columns stay."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return (
-        docs.withColumn(f"{N}text", t)
-        .withColumn(f"{N}words", _words(F.col(f"{N}text")))
-        .withColumn(f"{N}n_words", F.size(f"{N}words").cast("long"))
-        .withColumn(f"{N}word_chars", F.aggregate(f"{N}words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)))
-        .withColumn(f"{N}n_symbols", F.regexp_count(F.col(f"{N}text"), F.lit(SYMBOLS)).cast("long"))
-        .withColumn(f"{N}n_shouts", F.regexp_count(F.col(f"{N}text"), F.lit(r"!!(?=[\x20\x09-\x0D]|$)")).cast("long"))
-    )
+def _statistics(text: Column) -> Column:
+    """The statistics that the rules read, as one struct."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+
+    def counts(x: Column) -> Column:
+        return F.struct(
+            x["text"].alias("text"), x["words"].alias("words"), F.size(x["words"]).cast("long").alias("n"),
+            F.aggregate(x["words"], F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("chars"),
+            F.regexp_count(x["text"], F.lit(SYMBOLS)).cast("long").alias("symbols"),
+            F.regexp_count(x["text"], F.lit(r"!!(?=[\x20\x09-\x0D]|$)")).cast("long").alias("shouts"),
+        )
+
+    return _let(F.struct(t.alias("text"), _words(t).alias("words")), counts)
+
+
+def with_statistics(text: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the statistics, which are worked out once for each text. The whole is one expression, so a filter on it can be pushed through projections without doing the work again for each use."""
+    return _let(_statistics(text), body)
 
 
 def rules(how: Rules) -> list[Rule]:
-    n, chars = F.col(f"{N}n_words"), F.col(f"{N}word_chars")
-    size = F.length(f"{N}text")
-    dup = _dup_lines(F.col(f"{N}text"))
-    lines = F.regexp_count(F.col(f"{N}text"), F.lit("\n")) + 1
     return [
-        Rule("few_words", n < how.min_words, F.lit(1.0)),
-        Rule("symbols", F.col(f"{N}n_symbols") > how.max_symbols_per_word * n, F.lit(1.0)),
-        Rule("shouting", F.col(f"{N}n_shouts") > how.max_shout_share * n, F.lit(1.0)),
-        Rule("word_length", (chars > how.max_mean_word * n) | (chars < how.min_mean_word * n), F.lit(1.0)),
-        Rule("dup_lines", dup > how.max_dup_line_share * lines, size.cast("double")),
-        Rule("repeats", 100 * _repeat_words(F.col(f"{N}words"), how.window) > how.max_repeat_percent * n, 10.0 * n),
+        Rule("few_words", lambda x: x["n"] < how.min_words, lambda x: F.lit(1.0)),
+        Rule("symbols", lambda x: x["symbols"] > how.max_symbols_per_word * x["n"], lambda x: F.lit(1.0)),
+        Rule("shouting", lambda x: x["shouts"] > how.max_shout_share * x["n"], lambda x: F.lit(1.0)),
+        Rule("word_length", lambda x: (x["chars"] > how.max_mean_word * x["n"]) | (x["chars"] < how.min_mean_word * x["n"]), lambda x: F.lit(1.0)),
+        Rule("dup_lines", lambda x: _dup_lines(x["text"]) > how.max_dup_line_share * (F.regexp_count(x["text"], F.lit("\n")) + 1), lambda x: F.length(x["text"]).cast("double")),
+        Rule("repeats", lambda x: 100 * _repeat_words(x["words"], how.window) > how.max_repeat_percent * x["n"], lambda x: 10.0 * x["n"]),
     ]
 
 
@@ -111,19 +114,23 @@ def ordered(docs: DataFrame, given: list[Rule], how: Rules, seed: int = 42) -> l
     total = docs.count()
     if not total:
         return given
-    sample = statistics(docs.select("text").sample(min(1.0, how.sample_rows / total), seed), how=how)
-    seen = sample.agg(*[x for i, r in enumerate(given) for x in (F.avg(r.rejects.cast("double")).alias(f"r{i}"), F.avg(r.cost.cast("double")).alias(f"c{i}"))]).first()
+    sample = docs.select("text").sample(min(1.0, how.sample_rows / total), seed)
+    tried = with_statistics(F.col("text"), lambda x: F.struct(*[c for i, r in enumerate(given) for c in (r.rejects(x).cast("double").alias(f"r{i}"), r.cost(x).cast("double").alias(f"c{i}"))]))
+    seen = sample.select(tried.alias("x")).select("x.*").agg(*[F.avg(f"{k}{i}").alias(f"{k}{i}") for i in range(len(given)) for k in "rc"]).first()
     rate = [(seen[f"r{i}"] or 0.0) / max(seen[f"c{i}"] or 1.0, 1e-9) for i in range(len(given))]
     return [given[i] for i in sorted(range(len(given)), key=lambda i: (-rate[i], i))]
 
 
-def first_failed(given: list[Rule]) -> Column:
+def first_failed(given: list[Rule]) -> Callable[[Column], Column]:
     """The name of the first rule that rejects, else null. A rule runs only where all before it pass."""
-    head, *rest = given
-    out = F.when(head.rejects, F.lit(head.name))
-    for r in rest:
-        out = out.when(r.rejects, F.lit(r.name))
-    return out.otherwise(F.lit(None).cast("string"))
+
+    def tried(x: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for r in reversed(given):
+            out = F.when(r.rejects(x), F.lit(r.name)).otherwise(out)
+        return out
+
+    return tried
 
 
 def cascade(docs: DataFrame, how: Rules = Rules()) -> DataFrame:
@@ -132,16 +139,12 @@ def cascade(docs: DataFrame, how: Rules = Rules()) -> DataFrame:
     A null text counts as empty and fails for its few words. Equal texts get equal verdicts. The verdict, null or not,
     doesn't depend on the order of the rules; the order only saves work. Other columns stay; a column failed_rule is replaced.
     """
-    order = ordered(docs, rules(how), how)
-    out = statistics(docs, how=how).withColumn("failed_rule", first_failed(order))
-    return out.drop(*[c for c in out.columns if c.startswith(N)])
+    return docs.withColumn("failed_rule", with_statistics(F.col("text"), first_failed(ordered(docs, rules(how), how))))
 
 
 def keep(docs: DataFrame, how: Rules = Rules()) -> DataFrame:
     """The rows of docs that pass all rules, with the columns of docs."""
-    order = ordered(docs, rules(how), how)
-    out = statistics(docs, how=how).where(first_failed(order).isNull())
-    return out.select(*docs.columns)
+    return docs.where(with_statistics(F.col("text"), first_failed(ordered(docs, rules(how), how))).isNull())
 
 
 def report(docs: DataFrame, how: Rules = Rules()) -> DataFrame:
@@ -150,14 +153,19 @@ def report(docs: DataFrame, how: Rules = Rules()) -> DataFrame:
     The cascade decides only what the base counts leave open: its rules on words and repeats are the base counts
     themselves, which are reported for every text anyway.
     """
-    given = [r for r in rules(how) if r.name not in ("few_words", "repeats")]
-    order = ordered(docs, given, how)
-    rows = statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), how=how)
-    rows = rows.withColumn("n_dup_lines", _dup_lines(F.col(f"{N}text"))).withColumn("n_repeat_words", _repeat_words(F.col(f"{N}words"), how.window))
-    n = F.col(f"{N}n_words")
-    failed = (n < how.min_words) | (100 * F.col("n_repeat_words") > how.max_repeat_percent * n)
-    rows = rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.when(F.col("base_failed"), F.lit(False)).otherwise(first_failed(order).isNull()))
-    return rows.select("doc_id", n.alias("n_words"), F.col(f"{N}word_chars").alias("word_chars"), F.col(f"{N}n_symbols").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    order = ordered(docs, [r for r in rules(how) if r.name not in ("few_words", "repeats")], how)
+
+    def base(x: Column) -> Column:
+        return F.struct(x.alias("x"), _dup_lines(x["text"]).alias("dup"), _repeat_words(x["words"], how.window).alias("rep"))
+
+    def out(b: Column) -> Column:
+        x = b["x"]
+        failed = (x["n"] < how.min_words) | (100 * b["rep"] > how.max_repeat_percent * x["n"])
+        kept = F.when(failed, F.lit(False)).otherwise(first_failed(order)(x).isNull())
+        return F.struct(x["n"].alias("n_words"), x["chars"].alias("word_chars"), x["symbols"].alias("n_symbols"), b["dup"].alias("n_dup_lines"), b["rep"].alias("n_repeat_words"), failed.alias("base_failed"), kept.alias("kept"))
+
+    found = with_statistics(F.col("text"), lambda x: _let(base(x), out))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(F.array(found)))
 
 
 def oracle(how: Rules = Rules()) -> str:
