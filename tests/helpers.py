@@ -9,7 +9,7 @@ def raw(**changed):
     """One valid raw row, with changes."""
     status = changed.get("hours_stock_status", [0] * 24)
     sales = changed.get("hours_sale", [1.0] * 24)
-    row = {"product_id": "P0001", "dt": "2024-01-15", "sale_amount": float(sum(sales)), "hours_sale": sales, "hours_stock_status": status, "stock_hour6_22_cnt": sum(x == 1 for x in status[6:22])}
+    row = {"product_id": "P0001", "dt": "2024-01-15", "sale_amount": float(sum(x or 0 for x in sales)), "hours_sale": sales, "hours_stock_status": status, "stock_hour6_22_cnt": sum(x == 1 for x in status[6:22])}
     return tuple((row | changed)[k] for k in ("product_id", "dt", "sale_amount", "hours_sale", "hours_stock_status", "stock_hour6_22_cnt"))
 
 
