@@ -12,20 +12,26 @@ from pyspark.sql import functions as F
 
 from shelfcast.llm.common import cut, ship
 
-INDEX = "block long, ids binary, vectors binary, heads binary, posted binary, places binary"
+INDEX = "block long, ids binary, vectors binary, starts binary, heads binary, posted binary, places binary"
 FOUND = "query_id long, vec_id long, score double"
 
 
 @dataclass(frozen=True)
 class Index:
-    """pivots: a sample of so many vectors, by a seeded hash of their ids; only they come to the driver. prefix: nearest
-    pivots that stand for a vector. share: part of a block's vectors, nearest by footrule distance, that is reranked.
+    """pivots: a sample of so many distinct vectors, by a seeded hash of their ids; only it and its spares come to the driver.
+    prefix: nearest pivots that stand for a vector. alike: vectors of a block with this cosine to a common one are a crowd,
+    which is posted once. share: part of a block's crowds, nearest by footrule distance, that is reranked with all their
+    members, at least; least: so many crowds at least. tested: queries of a query block that are compared with the whole
+    block, to widen the share until it holds the part sure of their nearest vectors; up to the whole block.
     block: vectors of an index block. query_block: queries that meet a block at once."""
 
     pivots: int = 256
     prefix: int = 64
     share: float = 0.15
     least: int = 400
+    alike: float = 0.8
+    tested: int = 32
+    sure: float = 0.97
     k: int = 20
     every: int = 20
     block: int = 16384
@@ -40,14 +46,46 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(finite & F.exists("v", lambda x: x != 0))
 
 
+def distinct(rows: DataFrame, how: Index) -> DataFrame:
+    """Of equal vectors the rows with the how.k + 1 least ids. As equal vectors tie by id, the others are never among the how.k best of any query, itself left out."""
+    return rows.withColumn("copy", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= how.k + 1).drop("copy")
+
+
 def choose_pivots(rows: DataFrame, how: Index) -> np.ndarray:
-    """At most how.pivots vectors of one length, by a seeded hash of their ids, each to length 1."""
-    got = rows.orderBy(F.xxhash64(F.lit(how.seed), "vec_id"), "vec_id", "v").limit(how.pivots).collect()
+    """At most how.pivots distinct vectors of one length, by a seeded hash of their least ids, each to length 1. Those alike come last."""
+    got = rows.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64(F.lit(how.seed), "vec_id"), "vec_id", "v").limit(4 * how.pivots).collect()
     if not got:
         return np.zeros((0, 0))
     same = [r["v"] for r in got if len(r["v"]) == len(got[0]["v"])]
     p = np.array(same, dtype=np.float64)
-    return p / np.linalg.norm(p, axis=1, keepdims=True)
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    return p[spread(p, how.alike)[: how.pivots]]
+
+
+def spread(p: np.ndarray, alike: float) -> np.ndarray:
+    """The places of all unit vectors: first those that are not alike an earlier one of the first, then the others."""
+    free, first = np.ones(len(p), dtype=bool), []
+    for i in range(len(p)):
+        if free[i]:
+            first.append(i)
+            free &= p @ p[i] < alike
+    return np.array(first + sorted(set(range(len(p))) - set(first)))
+
+
+def crowds(x: np.ndarray, near: np.ndarray, alike: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of x crowd by crowd, each with its leader first, and where the crowds start, with the end. Members have their leader's nearest pivot and a cosine of alike to it."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    by = np.argsort(near[:, 0], kind="stable")
+    out, sizes = [], []
+    for left in np.split(by, np.flatnonzero(np.diff(near[by, 0])) + 1):
+        v = u[left]
+        while len(left):
+            member = v @ v[0] >= alike
+            member[0] = True
+            out.append(left[member])
+            sizes.append(len(out[-1]))
+            left, v = left[~member], v[~member]
+    return np.concatenate(out), np.concatenate(([0], np.cumsum(sizes)))
 
 
 def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -56,7 +94,7 @@ def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 
 
 def build(rows: DataFrame, pivots: np.ndarray, how: Index) -> DataFrame:
-    """Index blocks with their vectors and inverted files: posted are a block's vectors by pivot, places where the pivot stands in the order of each, heads where a pivot's list starts."""
+    """Index blocks with their vectors and inverted files: starts are a block's crowds, posted the crowds by pivot, places where the pivot stands in the order of each, heads where a pivot's list starts."""
     dim = pivots.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,12 +109,14 @@ def build(rows: DataFrame, pivots: np.ndarray, how: Index) -> DataFrame:
             by = np.argsort(i, kind="stable")
             x, i = x[by], i[by]
             near = orders(x, pivots, how.prefix)
+            by, starts = crowds(x, near, how.alike)
+            x, i, near = x[by], i[by], near[by[starts[:-1]]]
             flat = near.ravel()
             sort = np.argsort(flat, kind="stable")
             heads = np.searchsorted(flat[sort], np.arange(len(pivots) + 1))
             vec, place = np.divmod(sort, near.shape[1])
-            parts = [i.astype("<i8"), x.astype("<f8"), heads.astype("<i8"), vec.astype("<i4"), place.astype("<i2")]
-            out = pa.record_batch([pa.array([number]), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], names=["block", "ids", "vectors", "heads", "posted", "places"])
+            parts = [i.astype("<i8"), x.astype("<f8"), starts.astype("<i8"), heads.astype("<i8"), vec.astype("<i4"), place.astype("<i2")]
+            out = pa.record_batch([pa.array([number]), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], names=["block", "ids", "vectors", "starts", "heads", "posted", "places"])
             number, held = number + 1, 0
             ids.clear()
             vectors.clear()
@@ -112,23 +152,35 @@ def search(block: tuple[np.ndarray, ...], query_ids: np.ndarray, queries: np.nda
 
     With prefixes of length p and the place p for a pivot that a prefix lacks, the footrule distance of two orders is
     a constant less twice the sum, over pivots of both, of p - max(place, place). So adding up that sum along the
-    lists of the query's pivots ranks a whole block.
+    lists of the query's pivots ranks a whole block. Crowds are ranked by their leaders, and count once each.
     """
-    ids, x, heads, posted, places = block
-    n, p = len(ids), near.shape[1]
+    ids, x, starts, heads, posted, places = block
+    n, p, sizes = len(starts) - 1, near.shape[1], np.diff(starts)
     weight = (p - places).astype(np.int32)
+
+    def gains(order: np.ndarray) -> np.ndarray:
+        gain = np.zeros(n, dtype=np.int32)
+        for place, pivot in enumerate(order):
+            a, z = heads[pivot], heads[pivot + 1]
+            gain[posted[a:z]] += np.minimum(weight[a:z], p - place)
+        return gain
+
     wanted = n if n <= how.least else max(how.least, int(np.ceil(how.share * n)))
+    if wanted < n and how.tested:
+        needed = []
+        for i in np.unique(np.linspace(0, len(queries) - 1, min(len(queries), how.tested)).astype(int)):
+            gain, score = gains(near[i]), np.where(ids == query_ids[i], -np.inf, (x * queries[i]).sum(axis=1))
+            best = np.argsort(-score, kind="stable")[: min(how.k, len(ids) - 1)]
+            needed.append(n - np.searchsorted(np.sort(gain), gain[np.searchsorted(starts, best, "right") - 1]))
+        wanted = max(wanted, int(np.quantile(np.concatenate(needed), how.sure, method="higher")))
     out_q, out_v, out_s = [], [], []
     for q, vector, order in zip(query_ids, queries, near, strict=True):
         if wanted < n:
-            gain = np.zeros(n, dtype=np.int32)
-            for place, pivot in enumerate(order):
-                a, z = heads[pivot], heads[pivot + 1]
-                gain[posted[a:z]] += np.minimum(weight[a:z], p - place)
+            gain = gains(order)
             edge = np.partition(gain, n - wanted)[n - wanted]
-            pick = np.flatnonzero(gain >= edge)  # with all that tie with the last
+            pick = np.flatnonzero(np.repeat(gain >= edge, sizes))  # with all that tie with the last
         else:
-            pick = np.arange(n)
+            pick = np.arange(len(ids))
         pick = pick[ids[pick] != q]
         score = (x[pick] * vector).sum(axis=1)
         if len(pick) > 4 * how.k:  # with all that tie with the last place
@@ -152,7 +204,8 @@ def nearest(vectors: DataFrame, how: Index = Index()) -> DataFrame:
     query with another id; equal vectors tie by vec_id. Rows that share an id are candidates each, and one query (the
     least of their vectors). Fewer than how.k candidates are all returned. An empty table gives no rows.
 
-    Each query block meets each index block once, at which only how.share of the block's vectors are compared in full.
+    Each query block meets each index block once, at which how.share of the block's crowds are compared in full, or as
+    many more as a sample of the queries needs to find its nearest vectors there.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -160,7 +213,7 @@ def nearest(vectors: DataFrame, how: Index = Index()) -> DataFrame:
     pivots = choose_pivots(rows, how)
     if not len(pivots):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = cut(build(rows, pivots, how), "index")
+    index = cut(build(distinct(rows, how), pivots, how), "index")
     asked = rows.where((F.col("vec_id") % how.every == 0) & (F.size("v") == pivots.shape[1])).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_blocks = max(1, -(-asked.count() // how.query_block))
     asked = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("asker")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("qs"))
@@ -170,7 +223,7 @@ def nearest(vectors: DataFrame, how: Index = Index()) -> DataFrame:
     meet = left.join(asked.select("*", F.explode(numbers).alias("block")), ["asker", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"ids": "<i8", "vectors": "<f8", "heads": "<i8", "posted": "<i4", "places": "<i2"}
+        kinds = {"ids": "<i8", "vectors": "<f8", "starts": "<i8", "heads": "<i8", "posted": "<i4", "places": "<i2"}
         for batch in batches:
             for r in range(batch.num_rows):
                 block = [np.frombuffer(batch.column(c)[r].as_buffer(), dtype=t) for c, t in kinds.items()]

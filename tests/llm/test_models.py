@@ -1,6 +1,8 @@
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from llm_fixtures import SMALL, TEXTS, components, docs, empty, simhash
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from shelfcast.llm.common import table
 from shelfcast.llm.permutation_index import Index
 
 SF = SMALL.replace("0.001", "0.01")
+LARGE = SMALL.replace("0.001", "0.1")
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
 
 
@@ -131,3 +134,38 @@ def test_index_edges(spark):
     got = [tuple(r) for r in permutation_index.nearest(df).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 20, 2.0), (0, 2, 1, 1.0), (0, 3, 21, 1.0), (0, 4, 2, 0.0), (20, 1, 0, 2.0), (20, 2, 1, 2.0), (20, 3, 21, 2.0), (20, 4, 2, 0.0)]
     assert permutation_index.nearest(df.limit(0)).count() == 0
+
+
+def resampled(spark, n):
+    """So many unit vectors around those of the largest table."""
+    rng = np.random.default_rng(3)
+    x = np.array([r["embedding"] for r in table(spark, LARGE, "embeddings").orderBy("vec_id").collect()], dtype=np.float64)
+    x = x[rng.integers(0, len(x), n)] + rng.normal(size=(n, x.shape[1])) * 0.3 / 8
+    return x / np.linalg.norm(x, axis=1, keepdims=True), rng
+
+
+def recalls(spark, path, x, how):
+    """Query ids and the recall of each, by scores, as equal vectors tie."""
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64()))}), path)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # full blocks
+    got = permutation_index.nearest(spark.read.parquet(str(path)).coalesce(1), how).toPandas()
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    out = {}
+    for q, found in got.groupby("query_id"):
+        want = np.delete(x @ x[q], q)
+        least = np.partition(want, len(want) - 20)[-20]
+        out[q] = (found.score >= least - 1e-9).sum() / 20
+    assert sorted(out) == list(range(0, len(x), how.every))
+    return np.array(list(out)), np.array(list(out.values()))
+
+
+@needs_tables
+def test_index_recall_beside_a_crowd(spark, tmp_path):
+    for noise in (0, 0.2):  # a third are copies of one vector, or near copies
+        x, rng = resampled(spark, 25_000)
+        crowd = rng.random(len(x)) < 1 / 3
+        near = x[0] + rng.normal(size=(crowd.sum(), x.shape[1])) * noise / 8
+        x[crowd] = near / np.linalg.norm(near, axis=1, keepdims=True)
+        q, r = recalls(spark, tmp_path / f"{noise}.parquet", x, Index(every=100))
+        assert r[crowd[q]].mean() >= 0.9 and r[~crowd[q]].mean() >= 0.9
