@@ -51,36 +51,50 @@ def distinct(rows: DataFrame, how: Index) -> DataFrame:
     return rows.withColumn("copy", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= how.k + 1).drop("copy")
 
 
-def choose_pivots(rows: DataFrame, how: Index) -> np.ndarray:
-    """At most how.pivots distinct vectors of one length, by a seeded hash of their least ids, each to length 1. Those alike come last."""
+def raised(x: np.ndarray, longest: float | None) -> np.ndarray:
+    """Vectors with one more component that brings them all to the length longest, so that direction alone ranks their inner products with queries; queries have 0 there (longest is None)."""
+    more = np.zeros(len(x)) if longest is None else np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0))
+    return np.column_stack((x, more))
+
+
+def cosines(x: np.ndarray, longest: float, alike: float) -> np.ndarray:
+    """The cosine from which a raised vector is alike each of x: as far off, for x's own length, as alike is without raising."""
+    return 1 - (1 - alike) * (x * x).sum(axis=1) / longest**2
+
+
+def choose_pivots(rows: DataFrame, how: Index) -> tuple[np.ndarray, float]:
+    """At most how.pivots distinct vectors of one length, by a seeded hash of their least ids, raised and each to length 1, those alike last; and the length of the longest vector like them."""
     got = rows.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64(F.lit(how.seed), "vec_id"), "vec_id", "v").limit(4 * how.pivots).collect()
     if not got:
-        return np.zeros((0, 0))
+        return np.zeros((0, 0)), 0.0
     same = [r["v"] for r in got if len(r["v"]) == len(got[0]["v"])]
-    p = np.array(same, dtype=np.float64)
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    longest = float(np.sqrt(rows.where(F.size("v") == len(same[0])).agg(F.max(square)).first()[0]))
+    x = np.array(same, dtype=np.float64)
+    p = raised(x, longest)
     p /= np.linalg.norm(p, axis=1, keepdims=True)
-    return p[spread(p, how.alike)[: how.pivots]]
+    return p[spread(p, cosines(x, longest, how.alike))[: how.pivots]], longest
 
 
-def spread(p: np.ndarray, alike: float) -> np.ndarray:
+def spread(p: np.ndarray, alike: np.ndarray) -> np.ndarray:
     """The places of all unit vectors: first those that are not alike an earlier one of the first, then the others."""
     free, first = np.ones(len(p), dtype=bool), []
     for i in range(len(p)):
         if free[i]:
             first.append(i)
-            free &= p @ p[i] < alike
+            free &= p @ p[i] < alike[i]
     return np.array(first + sorted(set(range(len(p))) - set(first)))
 
 
-def crowds(x: np.ndarray, near: np.ndarray, alike: float) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of x crowd by crowd, each with its leader first, and where the crowds start, with the end. Members have their leader's nearest pivot and a cosine of alike to it."""
+def crowds(x: np.ndarray, near: np.ndarray, alike: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of x crowd by crowd, each with its leader first, and where the crowds start, with the end. Members have their leader's nearest pivot and its cosine of alike to it."""
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     by = np.argsort(near[:, 0], kind="stable")
     out, sizes = [], []
     for left in np.split(by, np.flatnonzero(np.diff(near[by, 0])) + 1):
         v = u[left]
         while len(left):
-            member = v @ v[0] >= alike
+            member = v @ v[0] >= alike[left[0]]
             member[0] = True
             out.append(left[member])
             sizes.append(len(out[-1]))
@@ -93,9 +107,9 @@ def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix].astype(np.int32)
 
 
-def build(rows: DataFrame, pivots: np.ndarray, how: Index) -> DataFrame:
+def build(rows: DataFrame, pivots: np.ndarray, longest: float, how: Index) -> DataFrame:
     """Index blocks with their vectors and inverted files: starts are a block's crowds, posted the crowds by pivot, places where the pivot stands in the order of each, heads where a pivot's list starts."""
-    dim = pivots.shape[1]
+    dim = pivots.shape[1] - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -108,8 +122,9 @@ def build(rows: DataFrame, pivots: np.ndarray, how: Index) -> DataFrame:
             x, i = np.concatenate(vectors), np.concatenate(ids)
             by = np.argsort(i, kind="stable")
             x, i = x[by], i[by]
-            near = orders(x, pivots, how.prefix)
-            by, starts = crowds(x, near, how.alike)
+            high = raised(x, longest)
+            near = orders(high, pivots, how.prefix)
+            by, starts = crowds(high, near, cosines(x, longest, how.alike))
             x, i, near = x[by], i[by], near[by[starts[:-1]]]
             flat = near.ravel()
             sort = np.argsort(flat, kind="stable")
@@ -210,11 +225,11 @@ def nearest(vectors: DataFrame, how: Index = Index()) -> DataFrame:
     spark = vectors.sparkSession
     ship(spark)
     rows = usable(vectors)
-    pivots = choose_pivots(rows, how)
+    pivots, longest = choose_pivots(rows, how)
     if not len(pivots):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = cut(build(distinct(rows, how), pivots, how), "index")
-    asked = rows.where((F.col("vec_id") % how.every == 0) & (F.size("v") == pivots.shape[1])).groupBy("vec_id").agg(F.min("v").alias("v"))
+    index = cut(build(distinct(rows, how), pivots, longest, how), "index")
+    asked = rows.where((F.col("vec_id") % how.every == 0) & (F.size("v") == pivots.shape[1] - 1)).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_blocks = max(1, -(-asked.count() // how.query_block))
     asked = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("asker")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("qs"))
     # Each pair of blocks has a key of its own, so pairs spread evenly; block numbers are one long for how.block vectors.
@@ -229,8 +244,8 @@ def nearest(vectors: DataFrame, how: Index = Index()) -> DataFrame:
                 block = [np.frombuffer(batch.column(c)[r].as_buffer(), dtype=t) for c, t in kinds.items()]
                 block[1] = block[1].reshape(len(block[0]), -1)
                 qs = batch.column("qs")[r].values
-                q, x = as_arrays(pa.RecordBatch.from_arrays([qs.field("vec_id"), qs.field("v")], names=["vec_id", "v"]), pivots.shape[1])
-                found = search(tuple(block), q, x, orders(x, pivots, how.prefix), how)
+                q, x = as_arrays(pa.RecordBatch.from_arrays([qs.field("vec_id"), qs.field("v")], names=["vec_id", "v"]), pivots.shape[1] - 1)
+                found = search(tuple(block), q, x, orders(raised(x, None), pivots, how.prefix), how)
                 yield pa.record_batch([pa.array(f) for f in found], names=["query_id", "vec_id", "score"])
 
     met = meet.mapInArrow(run, FOUND)

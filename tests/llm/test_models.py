@@ -169,3 +169,12 @@ def test_index_recall_beside_a_crowd(spark, tmp_path):
         x[crowd] = near / np.linalg.norm(near, axis=1, keepdims=True)
         q, r = recalls(spark, tmp_path / f"{noise}.parquet", x, Index(every=100))
         assert r[crowd[q]].mean() >= 0.9 and r[~crowd[q]].mean() >= 0.9
+
+
+@needs_tables
+def test_index_recall_of_unequal_lengths(spark, tmp_path):
+    x, rng = resampled(spark, 25_000)
+    x *= rng.lognormal(0, 0.5, len(x))[:, None]
+    assert recalls(spark, tmp_path / "lengths.parquet", x, Index(every=100, tested=0))[1].mean() >= 0.9
+    x[7] *= 1000  # one vector longer than all others by far
+    assert recalls(spark, tmp_path / "longest.parquet", x, Index(every=100))[1].mean() >= 0.9
