@@ -20,6 +20,8 @@ from shelfcast.llm.common import cut, ship
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript textarea title iframe xmp noembed noframes svg math object select".split())
+#: Those of RAW that hold plain text up to their own end tag, whatever looks like markup in it.
+PLAIN = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog button head fieldset".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 BOILERPLATE_WORDS = frozenset(
@@ -71,16 +73,27 @@ def _is_boilerplate(tag: str, attrs: dict[str, str], raw: str, in_article: bool)
     return bool(found - {"header"} if in_article or tag in ("body", "html", "main") else found) and tag not in ("html", "body")
 
 
+def _end_of_plain(source: str, m: re.Match) -> int:
+    """Where the element of plain text that m opens ends, at the end of the source if it's never closed; else 0."""
+    tag = (m[2] or "").lower()
+    if m[1] or tag not in PLAIN or m[3].rstrip().endswith("/"):
+        return 0
+    end = PLAIN[tag].search(source, m.end())
+    return end.end() if end else len(source)
+
+
 def parse(source: str) -> Node:
     """The tree of block elements. Inline elements are part of their block's text; raw elements and comments vanish."""
     root = Node("#root", "", False)
     stack = [root]
     at, hidden, skip_to, articles = 0, [], None, 0
-    for m in TAG.finditer(source):
+    m = None
+    while m := TAG.search(source, max(at, m.end()) if m else 0):
         if skip_to:
-            if not (m[1] and m[2].lower() == skip_to):
-                continue
-            skip_to, at = None, m.end()
+            if m[2] and m[1] and m[2].lower() == skip_to:
+                skip_to, at = None, m.end()
+            elif end := _end_of_plain(source, m):
+                at = end
             continue
         if m.start() > at and not hidden:
             stack[-1].kids.append(source[at : m.start()])
@@ -89,7 +102,9 @@ def parse(source: str) -> Node:
             continue
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW:
-            if not closing and not m[3].rstrip().endswith("/"):
+            if end := _end_of_plain(source, m):
+                at = end
+            elif not closing and not m[3].rstrip().endswith("/"):
                 skip_to = tag
             continue
         if tag in INLINE:

@@ -49,3 +49,10 @@ def test_frequent_texts_survive_merging():
         right = w.merge(right, s, 4)
     both = w.merge(left, right, 4)
     assert both["n"] == 300 and len(both["t"]) <= 4 and both["t"]["all"] >= 200 - 300 / 4
+
+
+def test_plain_text_of_raw_elements():
+    page = "{}<article><p>Main</p></article>"
+    for raw in ("<script>for(i=0;i<n;i++){f(i)}</script>", '<script>var s="<!--";</script>', "<STYLE>a<b{}</style >", "<title>a <b</title>", "<svg><style>x<y</style><path/></svg>", "<script>'</scripts>'<x</script\n>", "<template><script>a<b</script></template>"):
+        assert w.content(w.parse(page.format(raw)), None, w.Wrapper()) == "Main", raw
+    assert w.content(w.parse("<p>before<script>if(a<b)</p>never closed"), None, w.Wrapper()) == "before"
