@@ -7,6 +7,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,11 +40,11 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 @dataclass(frozen=True)
 class Wrapper:
     """min_pages: pages that a host's template rests on at least. min_share: of the pages with a slot, to make a text constant.
-    kept: texts counted for each slot. hosts_held: templates that a task holds at once. salts: parts of a host's pages that merge apart first. broadcast_bytes: templates of all hosts are broadcast up to this size, else joined by host."""
+    counts_held: counts of texts that a task holds at once. hosts_held: templates that a task holds at once. salts: parts of a host's pages that merge apart first. broadcast_bytes: templates of all hosts are broadcast up to this size, else joined by host."""
 
     min_pages: int = 8
     min_share: float = 0.6
-    kept: int = 16
+    counts_held: int = 200_000
     hosts_held: int = 2000
     salts: int = 64
     broadcast_bytes: int = 32 << 20
@@ -170,14 +171,15 @@ def runs(node: Node) -> list:
 
 
 # A template is {"s": name, "n": pages, "t": {text key: pages}, "k": [templates of kids]}. Kids of one name that follow
-# each other are one slot, so that lists and paragraphs of any length align.
+# each other are one slot, so that lists and paragraphs of any length align. Templates of hosts hold no texts; their
+# slots of text have numbers "i" and the keys "c" of their constant texts, which are counted apart, all of them.
 
 
-def sketch(node: Node) -> dict:
+def sketch(node: Node, texts: bool = True) -> dict:
     """A page's own template: each slot's texts once."""
     kids: list[dict] = []
     for kid in runs(node):
-        one = {"s": "#text", "n": 1, "t": {_key(kid): 1}, "k": []} if isinstance(kid, str) else sketch(kid)
+        one = {"s": "#text", "n": 1, "t": {_key(kid): 1} if texts else {}, "k": []} if isinstance(kid, str) else sketch(kid, texts)
         if kids and kids[-1]["s"] == one["s"]:
             kids[-1] = _within(kids[-1], one)
         else:
@@ -235,17 +237,19 @@ def align(a: list[dict], b: list[dict]) -> list[tuple[dict | None, dict | None]]
 
 
 def merge(a: dict, b: dict, kept: int) -> dict:
-    """Templates of two sets of pages as one. Of a slot's texts the most frequent stay: what stands on over 1 / kept of the pages is never lost."""
+    """Templates of two sets of pages as one. Of a slot's texts at most kept stay, the most frequent, with counts lowered by the next one's; 0 keeps none."""
     texts = dict(a["t"])
     for k, n in b["t"].items():
         texts[k] = texts.get(k, 0) + n
+    if not kept:
+        texts = {}
     if len(texts) > kept:
         least = sorted(texts.values(), reverse=True)[kept]
         texts = {k: n - least for k, n in texts.items() if n > least}
     return {"s": a["s"], "n": a["n"] + b["n"], "t": texts, "k": [merge(x, y, kept) if x and y else x or y for x, y in align(a["k"], b["k"])]}
 
 
-def content(page: Node, template: dict | None, how: Wrapper) -> str:
+def content(page: Node, template: dict | None) -> str:
     """Blocks of the page's articles (of its main part or body where it has none) that are neither boilerplate by element, class or role nor constant on the host's pages.
 
     Where most of a page's text is constant the page is a copy that its host holds many times, and its text is content.
@@ -259,7 +263,7 @@ def content(page: Node, template: dict | None, how: Wrapper) -> str:
         for kid in runs(node):
             if isinstance(kid, str):
                 if inside:
-                    out.append((kid, any(_constant(s, kid, how) for s in slots if s["s"] == "#text")))
+                    out.append((kid, any(_key(kid) in s["c"] for s in slots if s["s"] == "#text")))
             elif not kid.skip:
                 walk(kid, [k for s in slots if s["s"] == kid.name for k in s["k"]], inside)
 
@@ -278,12 +282,27 @@ def _find(node: Node, test) -> list[Node]:
     return out
 
 
-def _constant(slot: dict, text: str, how: Wrapper) -> bool:
-    return slot["n"] >= how.min_pages and slot["t"].get(_key(text), 0) >= how.min_share * slot["n"]
+def _number(template: dict, first: int = 0) -> int:
+    """Numbers the slots of text in page order; the next number."""
+    for kid in template["k"]:
+        if kid["s"] == "#text":
+            kid["i"], first = first, first + 1
+        else:
+            first = _number(kid, first)
+    return first
+
+
+def placed(page: dict, template: dict) -> Iterator[tuple[int, dict]]:
+    """The numbers of the template's slots that a page's own template meets, each with its texts there."""
+    for x, y in align(page["k"], template["k"]):
+        if x and y and y["s"] == "#text":
+            yield y["i"], x["t"]
+        elif x and y:
+            yield from placed(x, y)
 
 
 def induce(pages: DataFrame, how: Wrapper) -> DataFrame:
-    """host, template (JSON): templates of all hosts, each from all its pages. Tasks merge what they read by host first, then parts of hosts merge, then hosts."""
+    """host, template (JSON): templates of all hosts without texts, each from all its pages. Tasks merge what they read by host first, then parts of hosts merge, then hosts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -298,15 +317,15 @@ def induce(pages: DataFrame, how: Wrapper) -> DataFrame:
 
         for batch in batches:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = sketch(parse(source.as_py()))
-                held[host] = merge(held[host], one, how.kept) if host in held else one
+                one = sketch(parse(source.as_py()), False)
+                held[host] = merge(held[host], one, 0) if host in held else one
                 if len(held) > how.hosts_held:
                     yield out()
         if held:
             yield out()
 
     def together(keys: tuple, rows: pa.Table) -> pa.Table:
-        made = functools.reduce(lambda a, b: merge(a, b, how.kept), map(json.loads, rows.column("template").to_pylist()))
+        made = functools.reduce(lambda a, b: merge(a, b, 0), map(json.loads, rows.column("template").to_pylist()))
         return pa.table({"host": pa.array([keys[0].as_py()], pa.string()), "salt": pa.array([0], pa.int32()), "template": [json.dumps(made)]})
 
     schema = "host string, salt int, template string"
@@ -316,8 +335,56 @@ def induce(pages: DataFrame, how: Wrapper) -> DataFrame:
 
 
 @functools.lru_cache(maxsize=512)
-def _load(template: str) -> dict:
-    return json.loads(template)
+def _load(template: str, constants: str | None = None) -> dict:
+    """A template with its slots numbered, and the constant texts of each."""
+    made, by = json.loads(template), {}
+    for x in json.loads(constants or "[]"):
+        by.setdefault(x["slot"], set()).add(x["key"])
+    _number(made)
+
+    def fill(node: dict) -> None:
+        for kid in node["k"]:
+            if kid["s"] == "#text":
+                kid["c"] = by.get(kid["i"], frozenset())
+            else:
+                fill(kid)
+
+    fill(made)
+    return made
+
+
+def count(pages: DataFrame, how: Wrapper) -> DataFrame:
+    """host, constants (JSON of slot and key): the texts that stand on how.min_share of a host's pages with their slot, from exact counts of all texts, each once a page and slot. pages needs host, html and template."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            made = pa.record_batch([pa.array([k[i] for k in held], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))] + [pa.array(held.values(), pa.int64())], names=["host", "slot", "key", "n"])
+            held.clear()
+            return made
+
+        for batch in batches:
+            for host, source, template in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                for slot, texts in placed(sketch(parse(source.as_py())), _load(template.as_py())):
+                    held[host, slot, ""] += 1  # no text has an empty key: pages with the slot
+                    held.update((host, slot, k) for k in texts)
+                if len(held) > how.counts_held:
+                    yield out()
+        if held:
+            yield out()
+
+    # A text on fewer pages than this is constant nowhere.
+    least = how.min_share * how.min_pages
+    counts = pages.select("host", "html", "template").mapInArrow(run, "host string, slot int, key string, n long").groupBy("host", "slot", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = cut(counts, "counts")
+    slots = counts.where((F.col("key") == "") & (F.col("n") >= how.min_pages)).select("host", "slot", F.col("n").alias("pages"))
+    fixed = counts.where("key <> ''").join(slots, ["host", "slot"]).where(F.col("n") >= how.min_share * F.col("pages"))
+    return fixed.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list(F.struct("slot", "key")))).alias("constants"))
+
+
+def with_templates(rows: DataFrame, templates: DataFrame, size: int, how: Wrapper) -> DataFrame:
+    return rows.join(F.broadcast(templates) if size <= how.broadcast_bytes else templates, "host", "left")
 
 
 def extract(pages: DataFrame, how: Wrapper = Wrapper()) -> DataFrame:
@@ -333,11 +400,13 @@ def extract(pages: DataFrame, how: Wrapper = Wrapper()) -> DataFrame:
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))).alias("host"))
     templates = cut(induce(rows, how), "templates")
     size = templates.agg(F.sum(F.length("template"))).first()[0] or 0
-    joined = rows.join(F.broadcast(templates) if size <= how.broadcast_bytes else templates, "host", "left").select("page_id", "url", "html", "template")
+    constants = cut(count(with_templates(rows, templates, size, how), how), "constants")
+    size += constants.agg(F.sum(F.length("constants"))).first()[0] or 0
+    joined = with_templates(rows, templates.join(constants, "host", "left"), size, how).select("page_id", "url", "html", "template", "constants")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [content(parse(h.as_py()), _load(t) if (t := t_.as_py()) else None, how) for h, t_ in zip(batch.column("html"), batch.column("template"), strict=True)]
+            texts = [content(parse(h.as_py()), _load(t, c.as_py()) if (t := t_.as_py()) else None) for h, t_, c in zip(batch.column("html"), batch.column("template"), batch.column("constants"), strict=True)]
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]

@@ -54,5 +54,12 @@ def test_frequent_texts_survive_merging():
 def test_plain_text_of_raw_elements():
     page = "{}<article><p>Main</p></article>"
     for raw in ("<script>for(i=0;i<n;i++){f(i)}</script>", '<script>var s="<!--";</script>', "<STYLE>a<b{}</style >", "<title>a <b</title>", "<svg><style>x<y</style><path/></svg>", "<script>'</scripts>'<x</script\n>", "<template><script>a<b</script></template>"):
-        assert w.content(w.parse(page.format(raw)), None, w.Wrapper()) == "Main", raw
-    assert w.content(w.parse("<p>before<script>if(a<b)</p>never closed"), None, w.Wrapper()) == "before"
+        assert w.content(w.parse(page.format(raw)), None) == "Main", raw
+    assert w.content(w.parse("<p>before<script>if(a<b)</p>never closed"), None) == "before"
+
+
+def test_constant_among_many_paragraphs(spark):
+    rows = [(i, "http://long.org/", "<article>" + "".join(f"<p>own {i} {j} words</p>" + ("<p>Notice on all pages</p>" if j == i % 30 else "") for j in range(30)) + "</article>", "c") for i in range(40)]
+    for how in ({}, {"broadcast_bytes": 0, "counts_held": 1}):
+        out = {r["page_id"]: r["text"] for r in w.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string"), w.Wrapper(**how)).collect()}
+        assert out == {i: "\n\n".join(f"own {i} {j} words" for j in range(30)) for i in range(40)}
