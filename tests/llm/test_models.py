@@ -178,3 +178,9 @@ def test_index_recall_of_unequal_lengths(spark, tmp_path):
     assert recalls(spark, tmp_path / "lengths.parquet", x, Index(every=100, tested=0))[1].mean() >= 0.9
     x[7] *= 1000  # one vector longer than all others by far
     assert recalls(spark, tmp_path / "longest.parquet", x, Index(every=100))[1].mean() >= 0.9
+
+
+@needs_tables
+def test_index_recall_of_a_full_block_without_floor(spark, tmp_path):
+    x, _ = resampled(spark, 17_000)
+    assert recalls(spark, tmp_path / "full.parquet", x, Index(least=0, every=100))[1].mean() >= 0.9
