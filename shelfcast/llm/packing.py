@@ -48,7 +48,10 @@ class OpenBins:
             self.made += 1
         if left := f - length:
             if self.n_open >= self.most:
-                self._take((self.bits & -self.bits).bit_length() - 1)  # the fullest closes
+                fullest = (self.bits & -self.bits).bit_length() - 1
+                if left <= fullest:
+                    return bin_, self.capacity - f  # the bin just filled is the fullest itself and closes
+                self._take(fullest)
             self.free[left].append(bin_)
             self.bits |= 1 << left
             self.n_open += 1
