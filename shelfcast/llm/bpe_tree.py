@@ -32,9 +32,11 @@ ONE_CLASS = regex.compile(rf"\p{{L}}+|\p{{N}}+|[^{WHITE}\p{{L}}\p{{N}}]+")
 
 @dataclass(frozen=True)
 class Vocabulary:
+    """leaf_chars: characters of a leaf of the tree, which the library encodes; anything longer is joined from halves. window: characters on either side of a join that are encoded anew at first."""
+
     ranks_path: str
     pattern: str
-    leaf_chars: int = 8192
+    leaf_chars: int = 256
     window: int = 32
 
 

@@ -89,3 +89,34 @@ def test_open_bins_are_bounded_and_best_fit():
         b, offset = bins.place(n)
         assert 64 - offset == (min(room) if room else 64)
         free[b] = 64 - offset - n
+
+
+@pytest.mark.parametrize("most", [1, 2, 8, 50])
+def test_bounded_best_fit_against_plain(most):
+    """The fullest bin closes, the one just filled counted with the others; of equally full ones an older one stays open."""
+    rng = random.Random(most)
+    sizes = [524, 1023, *(rng.randint(1, 1024) for _ in range(1500))]
+    bins, free, made = packing.OpenBins(1024, most), {}, 0
+    for n in sizes:
+        room = min((f for f in free.values() if f >= n), default=None)
+        b, offset = bins.place(n)
+        assert offset == 1024 - (room or 1024) and (free.pop(b) == room if room else b == made)
+        made += room is None
+        left = 1024 - offset - n
+        if left and (len(free) < most or left > min(free.values())):
+            if len(free) == most:
+                closed = {i for i, f in free.items() if f == min(free.values())}
+                still = {i for held in bins.free for i in held}
+                (gone,) = closed - still
+                del free[gone]
+            free[b] = left
+        assert {i: f for f, held in enumerate(bins.free) for i in held} == free
+    assert bins.made == made
+
+
+def test_usual_texts_are_joined():
+    tree = bpe_tree.TreeCodec(VOCABULARY)
+    joins, plain = [], tree.join
+    tree.join = lambda text, a, m, b, left, right: joins.append(m) or plain(text, a, m, b, left, right)
+    text = "An ordinary paragraph of some words, it's not long. " * 20
+    assert tree.encode(text) == library().encode_ordinary(text) and len(joins) >= 3
