@@ -1,413 +1,300 @@
-"""Main text of web pages by wrapper induction: DOM trees of a host's pages are aligned, what stays constant is template."""
+"""Main text of web pages by wrapper induction: DOM trees of a host's pages are aligned, what stays constant is template.
+
+1. Group. Pages of a host with min_pages pages or more form a group; those of smaller hosts are pooled by layout, the
+   containers in the top two levels of the host's most frequent tree.
+2. Template. Its tree is the most frequent folded tree of the group, so it doesn't depend on the order of pages.
+3. Align. Every page is aligned with it by simple tree matching; a text belongs to the slot of the nearest node matched.
+4. Decide. What varies is measured by the characters of each slot's different texts outside links. The main part is the
+   container in which they gather (html_tree.region). Texts that stand in one slot on min_share of its pages are
+   constant; they are template, and go, if enough of the pages that hold them are mostly made of other texts.
+   Texts that stand only on pages that are mostly constant are copies of one article, and stay.
+5. Extract the texts of the main part that aren't template, without those that lists of names call boilerplate inside it.
+"""
 
 from __future__ import annotations
 
 import functools
-import html
 import json
-import re
-import zlib
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfcast.llm import html_tree as h
 from shelfcast.llm.common import cut, ship
 
-# Element and attribute names of the HTML standard and common conventions.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript textarea title iframe xmp noembed noframes svg math object select".split())
-#: Those of RAW that hold plain text up to their own end tag, whatever looks like markup in it.
-PLAIN = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
-BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog button head fieldset".split())
-BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-BOILERPLATE_WORDS = frozenset(
-    "nav navbar navigation menu header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising promo promotion sponsor sponsored banner notice notices cookie cookies consent gdpr alert popup modal overlay comment comments "
-    "disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager toolbar widget hidden".split()
-)
-#: A closing or opening of these ends an open paragraph; list items and table cells end their like.
-ENDS_ITSELF = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table tbody thead tfoot", "td": "tr table", "th": "tr table", "option": "select datalist"}
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-PART = re.compile(r"[a-z]+")
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+SKELETONS = "host string, code long, skeleton string, layout long, n long"
+BLOCKS = "grp string, node array<int>, code array<long>, plain array<int>, chars array<int>"
 
 
 @dataclass(frozen=True)
 class Wrapper:
-    """min_pages: pages that a host's template rests on at least. min_share: of the pages with a slot, to make a text constant.
-    counts_held: counts of texts that a task holds at once. hosts_held: templates that a task holds at once. salts: parts of a host's pages that merge apart first. broadcast_bytes: templates of all hosts are broadcast up to this size, else joined by host."""
+    """min_pages: pages from which a host is a group of its own and a slot can have constant texts. min_share: of a slot's pages, to make a text constant.
+    own_share: of the pages that hold a constant text, those that are mostly made of other texts, to make it template.
+    lists: whether names of elements, classes and roles count as evidence: boilerplate has no weight and goes inside the main part; article and main weigh double, and one with half of the weight is the main part.
+    held: counts that a task holds at once. salts: parts that a host's pages are dealt to where templates are joined. broadcast_bytes: templates are broadcast up to this size, else joined."""
 
     min_pages: int = 8
     min_share: float = 0.6
-    counts_held: int = 200_000
-    hosts_held: int = 2000
-    salts: int = 64
+    own_share: float = 0.25
+    lists: bool = True
+    held: int = 20_000
+    salts: int = 16
     broadcast_bytes: int = 32 << 20
 
 
 @dataclass(slots=True)
-class Node:
-    """A block element. kids holds blocks and runs of text in page order."""
+class Template:
+    """A group's tree, which of its nodes are the main part, whether links decide inside it, the slots of links, and the template texts (slot, code)."""
 
-    tag: str
     name: str
-    skip: bool
-    kids: list = field(default_factory=list)
-
-
-def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)} if "=" in raw else {}
-
-
-def _is_boilerplate(tag: str, attrs: dict[str, str], raw: str, in_article: bool) -> bool:
-    if tag in BOILERPLATE_TAGS:
-        return not (tag == "header" and in_article)
-    if attrs.get("role", "").lower() in BOILERPLATE_ROLES or attrs.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw) or "display:none" in attrs.get("style", "").replace(" ", ""):
-        return True
-    words = set(PART.findall((attrs.get("class", "") + " " + attrs.get("id", "")).lower()))
-    found = words & BOILERPLATE_WORDS
-    return bool(found - {"header"} if in_article or tag in ("body", "html", "main") else found) and tag not in ("html", "body")
-
-
-def _end_of_plain(source: str, m: re.Match) -> int:
-    """Where the element of plain text that m opens ends, at the end of the source if it's never closed; else 0."""
-    tag = (m[2] or "").lower()
-    if m[1] or tag not in PLAIN or m[3].rstrip().endswith("/"):
-        return 0
-    end = PLAIN[tag].search(source, m.end())
-    return end.end() if end else len(source)
-
-
-def parse(source: str) -> Node:
-    """The tree of block elements. Inline elements are part of their block's text; raw elements and comments vanish."""
-    root = Node("#root", "", False)
-    stack = [root]
-    at, hidden, skip_to, articles = 0, [], None, 0
-    m = None
-    while m := TAG.search(source, max(at, m.end()) if m else 0):
-        if skip_to:
-            if m[2] and m[1] and m[2].lower() == skip_to:
-                skip_to, at = None, m.end()
-            elif end := _end_of_plain(source, m):
-                at = end
-            continue
-        if m.start() > at and not hidden:
-            stack[-1].kids.append(source[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag in RAW:
-            if end := _end_of_plain(source, m):
-                at = end
-            elif not closing and not m[3].rstrip().endswith("/"):
-                skip_to = tag
-            continue
-        if tag in INLINE:
-            if tag == "br":
-                if not hidden:
-                    stack[-1].kids.append(" ")
-            elif closing:
-                if hidden and tag == hidden[-1]:
-                    hidden.pop()
-            elif hidden:
-                if tag == hidden[0]:
-                    hidden.append(tag)
-            elif tag not in VOID and "=" in m[3] and _is_boilerplate(tag, _attributes(m[3]), m[3], articles > 0):
-                hidden.append(tag)
-            continue
-        hidden.clear()  # a block ends the inline elements left open
-        if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    articles -= sum(x.tag == "article" for x in stack[i:])
-                    del stack[i:]
-                    break
-            continue
-        if stack[-1].tag == "p":
-            stack.pop()
-        if tag in ENDS_ITSELF:
-            stops = ENDS_ITSELF[tag].split()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stops:
-                    break
-                if stack[i].tag == tag or (tag in ("td", "th") and stack[i].tag in ("td", "th")) or (tag in ("dt", "dd") and stack[i].tag in ("dt", "dd")):
-                    del stack[i:]
-                    break
-        attrs = _attributes(m[3])
-        words = sorted(set(PART.findall((attrs.get("class", "") + " " + attrs.get("id", "") + " " + attrs.get("role", "")).lower())))
-        node = Node(tag, ".".join([tag, *words]), _is_boilerplate(tag, attrs, m[3], articles > 0))
-        stack[-1].kids.append(node)
-        if tag not in VOID:
-            stack.append(node)
-            articles += tag == "article"
-    if not skip_to and at < len(source) and not hidden:
-        stack[-1].kids.append(source[at:])
-    return root
-
-
-def clean(text: str) -> str:
-    return " ".join(html.unescape(text).split())
-
-
-def runs(node: Node) -> list:
-    """The kids of a block: blocks, and cleaned texts where the texts between two blocks say anything."""
-    out, held = [], []
-    for kid in [*node.kids, None]:
-        if isinstance(kid, str):
-            held.append(kid)
-            continue
-        if held and (text := clean("".join(held))):
-            out.append(text)
-        held = []
-        if kid is not None:
-            out.append(kid)
-    return out
-
-
-# A template is {"s": name, "n": pages, "t": {text key: pages}, "k": [templates of kids]}. Kids of one name that follow
-# each other are one slot, so that lists and paragraphs of any length align. Templates of hosts hold no texts; their
-# slots of text have numbers "i" and the keys "c" of their constant texts, which are counted apart, all of them.
-
-
-def sketch(node: Node, texts: bool = True) -> dict:
-    """A page's own template: each slot's texts once."""
-    kids: list[dict] = []
-    for kid in runs(node):
-        one = {"s": "#text", "n": 1, "t": {_key(kid): 1} if texts else {}, "k": []} if isinstance(kid, str) else sketch(kid, texts)
-        if kids and kids[-1]["s"] == one["s"]:
-            kids[-1] = _within(kids[-1], one)
-        else:
-            kids.append(one)
-    return {"s": node.name, "n": 1, "t": {}, "k": kids}
-
-
-def _key(text: str) -> str:
-    raw = text.encode()
-    return f"{zlib.crc32(raw):08x}{zlib.adler32(raw):08x}{len(raw):x}"
-
+    tree: h.Tree
+    top: int
+    inside: list[bool]
+    links: frozenset[int]
+    fixed: frozenset[tuple[int, int]]
 
-def _within(a: dict, b: dict) -> dict:
-    """Two like siblings of one page as one slot: the page counts once."""
-    kids = [_within(x, y) if x and y else x or y for x, y in align(a["k"], b["k"])]
-    return {"s": a["s"], "n": 1, "t": dict.fromkeys([*a["t"], *b["t"]], 1), "k": kids}
 
+def signed(code: int) -> int:
+    return code - (1 << 64) if code >> 63 else code
 
-def _size(t: dict) -> int:
-    return 1 + sum(map(_size, t["k"]))
 
+def code_of(text: str) -> int:
+    import xxhash
 
-def match(a: dict, b: dict) -> int:
-    """Simple tree matching: the most nodes that a mapping which keeps names, order and parents can pair."""
-    if a["s"] != b["s"]:
-        return 0
-    return 1 + _table(a["k"], b["k"])[-1][-1]
+    return signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
 
 
-def _table(a: list[dict], b: list[dict]) -> list[list[int]]:
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a, 1):
-        for j, y in enumerate(b, 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + match(x, y))
-    return best
+def layout(t: h.Tree) -> int:
+    """The containers of the top two levels."""
+    tops = [k for k in t.kids[0] if t.tags[k] in h.SECTIONS]
+    return code_of(json.dumps([[t.keys[k].partition("~")[0], *(t.keys[x].partition("~")[0] for x in t.kids[k] if t.tags[x] in h.SECTIONS)] for k in tops]))
 
 
-def align(a: list[dict], b: list[dict]) -> list[tuple[dict | None, dict | None]]:
-    """Kids in pairs by the best simple tree matching, those without partner apart, in order."""
-    if [x["s"] for x in a] == [y["s"] for y in b] and len({x["s"] for x in a}) == len(a):
-        return list(zip(a, b, strict=True))
-    best, out = _table(a, b), []
-    i, j = len(a), len(b)
-    while i or j:
-        if i and j and (w := match(a[i - 1], b[j - 1])) and best[i][j] == best[i - 1][j - 1] + w:
-            i, j = i - 1, j - 1
-            out.append((a[i], b[j]))
-        elif i and best[i][j] == best[i - 1][j]:
-            i -= 1
-            out.append((a[i], None))
-        else:
-            j -= 1
-            out.append((None, b[j]))
-    return out[::-1]
-
-
-def merge(a: dict, b: dict, kept: int) -> dict:
-    """Templates of two sets of pages as one. Of a slot's texts at most kept stay, the most frequent, with counts lowered by the next one's; 0 keeps none."""
-    texts = dict(a["t"])
-    for k, n in b["t"].items():
-        texts[k] = texts.get(k, 0) + n
-    if not kept:
-        texts = {}
-    if len(texts) > kept:
-        least = sorted(texts.values(), reverse=True)[kept]
-        texts = {k: n - least for k, n in texts.items() if n > least}
-    return {"s": a["s"], "n": a["n"] + b["n"], "t": texts, "k": [merge(x, y, kept) if x and y else x or y for x, y in align(a["k"], b["k"])]}
-
-
-def content(page: Node, template: dict | None) -> str:
-    """Blocks of the page's articles (of its main part or body where it has none) that are neither boilerplate by element, class or role nor constant on the host's pages.
-
-    Where most of a page's text is constant the page is a copy that its host holds many times, and its text is content.
-    """
-    regions = [n for n in _find(page, lambda n: n.tag == "article")] or [n for n in _find(page, lambda n: n.tag == "main" or n.name.endswith(".main"))]
-    chosen = {id(n) for n in regions}
-    out: list[tuple[str, bool]] = []
-
-    def walk(node: Node, slots: list[dict], inside: bool) -> None:
-        inside = inside or id(node) in chosen
-        for kid in runs(node):
-            if isinstance(kid, str):
-                if inside:
-                    out.append((kid, any(_key(kid) in s["c"] for s in slots if s["s"] == "#text")))
-            elif not kid.skip:
-                walk(kid, [k for s in slots if s["s"] == kid.name for k in s["k"]], inside)
-
-    walk(page, template["k"] if template else [], not regions)
-    fixed = sum(len(text) for text, constant in out if constant)
-    copied = 2 * fixed > sum(len(text) for text, _ in out)
-    return "\n\n".join(text for text, constant in out if copied or not constant)
-
-
-def _find(node: Node, test) -> list[Node]:
-    """Outermost nodes that pass, outside boilerplate."""
-    out = []
-    for kid in node.kids:
-        if isinstance(kid, Node) and not kid.skip:
-            out += [kid] if test(kid) else _find(kid, test)
+def weights(page: h.Page, lists: bool) -> list[int]:
+    """What a character of a node's text counts as evidence of the main part: 1, and with lists 0 in boilerplate and 2 in article or main."""
+    out = [1] * len(page.tags)
+    if lists:
+        for i in range(1, len(out)):
+            up = out[page.parents[i]]
+            out[i] = 0 if page.marked[i] or not up else 2 if page.tags[i] in ("article", "main") else up
     return out
 
 
-def _number(template: dict, first: int = 0) -> int:
-    """Numbers the slots of text in page order; the next number."""
-    for kid in template["k"]:
-        if kid["s"] == "#text":
-            kid["i"], first = first, first + 1
-        else:
-            first = _number(kid, first)
-    return first
-
-
-def placed(page: dict, template: dict) -> Iterator[tuple[int, dict]]:
-    """The numbers of the template's slots that a page's own template meets, each with its texts there."""
-    for x, y in align(page["k"], template["k"]):
-        if x and y and y["s"] == "#text":
-            yield y["i"], x["t"]
-        elif x and y:
-            yield from placed(x, y)
+def blocks(page: h.Page, at: list[int], lists: bool) -> dict[tuple[int, int], tuple[int, int]]:
+    """A page's different texts by slot and code, with their weighed characters outside links and their characters; code 0 for the slot itself."""
+    weigh, out = weights(page, lists), {}
+    for node, text, plain in page.texts:
+        out[at[node], 0] = (0, 0)
+        out[at[node], code_of(text) or 1] = (plain * weigh[node], len(text))
+    return out
 
 
-def induce(pages: DataFrame, how: Wrapper) -> DataFrame:
-    """host, template (JSON): templates of all hosts without texts, each from all its pages. Tasks merge what they read by host first, then parts of hosts merge, then hosts."""
+def content(page: h.Page, template: Template | None, lists: bool = True) -> str:
+    """The texts of the page's main part that aren't template, in page order.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    A page on which the template's main part is missing, or whose template has none below its root, shows its main
+    part by its own texts that aren't template. Without a template the whole page is its main part.
+    """
+    folded, of = h.fold(page)
+    partner, _ = h.align(folded, template.tree) if template else ([], 0)
+    at = h.slots(page, of, folded, partner) if template else of
+    known = [(node, text, plain) for node, text, plain in page.texts if not template or (at[node] not in template.links and (at[node], code_of(text) or 1) not in template.fixed)]
+    if not template:
+        inside, main = [True] * len(of), [j == 0 for j in of]
+    elif template.top and template.top in partner:
+        inside, main = [template.inside[s] for s in at], [partner[j] == template.top for j in of]
+    else:
+        mass, weigh = [0] * len(folded.keys), weights(page, lists)
+        for node, _, plain in known:
+            mass[of[node]] += plain * weigh[node]
+        top = h.region(folded, mass, [x > 0 for x in mass], lists)
+        within = h.below(folded, top)
+        inside, main = [within[j] for j in of], [j == top for j in of]
+    skip = [False] * len(of)
+    if lists:  # what stands above the main part says nothing about it
+        for i in range(1, len(skip)):
+            skip[i] = not main[i] and (page.marked[i] or skip[page.parents[i]])
+    return "\n\n".join(text for node, text, _ in known if inside[node] and not skip[node])
+
+
+def skeletons(pages: DataFrame, how: Wrapper) -> DataFrame:
+    """host, code, skeleton, layout, n: the folded trees of each host's pages and how many have them. pages needs host and html."""
 
-        salt = TaskContext.get().partitionId() % how.salts
-        held: dict[str, dict] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list] = {}
 
         def out() -> pa.RecordBatch:
-            rows = [(h, salt, json.dumps(t)) for h, t in held.items()]
+            rows = [(host, code, *x) for (host, code), x in held.items()]
             held.clear()
-            return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int32(), pa.string()))], names=["host", "salt", "template"])
+            return pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["host", "code", "skeleton", "layout", "n"])
 
         for batch in batches:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = sketch(parse(source.as_py()), False)
-                held[host] = merge(held[host], one, 0) if host in held else one
-                if len(held) > how.hosts_held:
+                folded, _ = h.fold(h.parse(source.as_py(), how.lists))
+                made = folded.dump()
+                key = host, code_of(made)
+                if key in held:
+                    held[key][2] += 1
+                else:
+                    held[key] = [made, layout(folded), 1]
+                if len(held) > how.held:
                     yield out()
         if held:
             yield out()
 
-    def together(keys: tuple, rows: pa.Table) -> pa.Table:
-        made = functools.reduce(lambda a, b: merge(a, b, 0), map(json.loads, rows.column("template").to_pylist()))
-        return pa.table({"host": pa.array([keys[0].as_py()], pa.string()), "salt": pa.array([0], pa.int32()), "template": [json.dumps(made)]})
+    found = pages.select("host", "html").mapInArrow(run, SKELETONS)
+    return found.groupBy("host", "code").agg(F.min("skeleton").alias("skeleton"), F.min("layout").alias("layout"), F.sum("n").alias("n"))
 
-    schema = "host string, salt int, template string"
-    parts = pages.select("host", "html").mapInArrow(read, schema)
-    parts = parts.groupBy("host", "salt").applyInArrow(together, schema)
-    return parts.groupBy("host").applyInArrow(together, schema).select("host", "template")
 
+def grouped(found: DataFrame, how: Wrapper) -> tuple[DataFrame, DataFrame]:
+    """host and grp; grp and skeleton, the most frequent one of its pages, of equally frequent ones that of the greatest code."""
+    hosts = found.groupBy("host").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "code", "layout"))["layout"].alias("layout"))
+    grp = F.when(F.col("pages") >= how.min_pages, F.concat(F.lit("host "), "host")).otherwise(F.concat(F.lit("layout "), F.col("layout").cast("string")))
+    hosts = hosts.select("host", grp.alias("grp"))
+    trees = found.join(hosts, "host").groupBy("grp", "code").agg(F.min("skeleton").alias("skeleton"), F.sum("n").alias("n"))
+    best = trees.groupBy("grp").agg(F.max(F.struct("n", "code", "skeleton"))["skeleton"].alias("skeleton"))
+    return hosts, best
 
-@functools.lru_cache(maxsize=512)
-def _load(template: str, constants: str | None = None) -> dict:
-    """A template with its slots numbered, and the constant texts of each."""
-    made, by = json.loads(template), {}
-    for x in json.loads(constants or "[]"):
-        by.setdefault(x["slot"], set()).add(x["key"])
-    _number(made)
 
-    def fill(node: dict) -> None:
-        for kid in node["k"]:
-            if kid["s"] == "#text":
-                kid["c"] = by.get(kid["i"], frozenset())
-            else:
-                fill(kid)
+@functools.lru_cache(maxsize=256)
+def load(name: str, made: str) -> Template:
+    x = json.loads(made)
+    t = h.load(x["skeleton"])
+    top = x.get("top") or 0
+    fixed = frozenset((f["node"], f["code"]) for f in x.get("fixed") or [])
+    return Template(name, t, top, h.below(t, top), frozenset(x.get("links") or []), fixed)
 
-    fill(made)
-    return made
 
+def with_templates(rows: DataFrame, templates: DataFrame, how: Wrapper) -> tuple[DataFrame, Callable[[pa.RecordBatch], Callable[[int], Template]]]:
+    """rows with what it takes to find each row's template in a task, and how: templates (host, grp, template) are sent to the workers once if they are small, else joined by host and a part of its pages."""
+    key = F.greatest(F.octet_length("host") + F.octet_length("grp") + F.octet_length("template"), F.lit(0))
+    size = templates.agg(F.sum(key.cast("long"))).first()[0] or 0
+    if size <= how.broadcast_bytes:
+        table = {r["host"]: (r["grp"], r["template"]) for r in templates.collect()}
+        sent = rows.sparkSession.sparkContext.broadcast(table)
 
-def count(pages: DataFrame, how: Wrapper) -> DataFrame:
-    """host, constants (JSON of slot and key): the texts that stand on how.min_share of a host's pages with their slot, from exact counts of all texts, each once a page and slot. pages needs host, html and template."""
+        def by_host(batch: pa.RecordBatch) -> Callable[[int], Template]:
+            hosts, known = batch.column("host").to_pylist(), sent.value
+            return lambda i: load(*known[hosts[i]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        return rows, by_host
+    salt = F.pmod(F.xxhash64("html"), F.lit(how.salts))
+    parts = templates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(how.salts - 1).cast("long"))))
+    joined = rows.withColumn("salt", salt).join(parts, ["host", "salt"]).drop("salt")
 
-        def out() -> pa.RecordBatch:
-            made = pa.record_batch([pa.array([k[i] for k in held], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))] + [pa.array(held.values(), pa.int64())], names=["host", "slot", "key", "n"])
-            held.clear()
-            return made
+    def by_row(batch: pa.RecordBatch) -> Callable[[int], Template]:
+        grp, made = batch.column("grp"), batch.column("template")
+        return lambda i: load(grp[i].as_py(), made[i].as_py())
 
-        for batch in batches:
-            for host, source, template in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                for slot, texts in placed(sketch(parse(source.as_py())), _load(template.as_py())):
-                    held[host, slot, ""] += 1  # no text has an empty key: pages with the slot
-                    held.update((host, slot, k) for k in texts)
-                if len(held) > how.counts_held:
-                    yield out()
-        if held:
-            yield out()
+    return joined, by_row
 
-    # A text on fewer pages than this is constant nowhere.
-    least = how.min_share * how.min_pages
-    counts = pages.select("host", "html", "template").mapInArrow(run, "host string, slot int, key string, n long").groupBy("host", "slot", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    counts = cut(counts, "counts")
-    slots = counts.where((F.col("key") == "") & (F.col("n") >= how.min_pages)).select("host", "slot", F.col("n").alias("pages"))
-    fixed = counts.where("key <> ''").join(slots, ["host", "slot"]).where(F.col("n") >= how.min_share * F.col("pages"))
-    return fixed.groupBy("host").agg(F.to_json(F.array_sort(F.collect_list(F.struct("slot", "key")))).alias("constants"))
 
+def aligned(pages: DataFrame, templates: DataFrame, how: Wrapper) -> DataFrame:
+    """The texts of each page as BLOCKS, without the texts themselves."""
+    rows, finder = with_templates(pages.select("host", "html"), templates, how)
 
-def with_templates(rows: DataFrame, templates: DataFrame, size: int, how: Wrapper) -> DataFrame:
-    return rows.join(F.broadcast(templates) if size <= how.broadcast_bytes else templates, "host", "left")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            find, out = finder(batch), []
+            for i, source in enumerate(batch.column("html")):
+                page, template = h.parse(source.as_py(), how.lists), find(i)
+                folded, of = h.fold(page)
+                partner, _ = h.align(folded, template.tree)
+                found = blocks(page, h.slots(page, of, folded, partner), how.lists)
+                out.append((template.name, [k[0] for k in found], [k[1] for k in found], [v[0] for v in found.values()], [v[1] for v in found.values()]))
+            kinds = (pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["grp", "node", "code", "plain", "chars"])
+
+    return rows.mapInArrow(run, BLOCKS)
+
+
+def main_parts(best: DataFrame, texts: DataFrame, how: Wrapper) -> DataFrame:
+    """grp, skeleton, top, links: the main part of each group by the different texts of its slots, each counted once."""
+    real = F.col("code") != 0
+    stats = texts.groupBy("grp", "node").agg(
+        F.sum("plain").alias("mass"), F.sum("chars").alias("chars"), F.count_if(real & (F.col("plain") > 0)).alias("kinds"), F.max(F.when(~real, F.col("n"))).alias("pages")
+    )
+    # A row for each node of the group's tree that has texts: no more than one page's nodes.
+    by = stats.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("node", "mass", "chars", "kinds", "pages"))).alias("stats"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tops, links = [], []
+            for skeleton, found in zip(batch.column("skeleton").to_pylist(), batch.column("stats").to_pylist(), strict=True):
+                t = h.load(skeleton)
+                mass, varies = [0] * len(t.keys), [False] * len(t.keys)
+                for x in found or []:
+                    mass[x["node"]], varies[x["node"]] = x["mass"], 2 * x["kinds"] >= x["pages"] and x["kinds"] > 0
+                tops.append(top := h.region(t, mass, varies, how.lists))
+                # Where no container holds the main part, slots of links in lists are menus.
+                flat = top == 0
+                links.append([x["node"] for x in found or [] if flat and t.tags[x["node"]] in ("li", "ul", "ol") and x["chars"] and not x["mass"]])
+            yield pa.record_batch([batch.column("grp"), batch.column("skeleton"), pa.array(tops, pa.int32()), pa.array(links, pa.list_(pa.int32()))], names=["grp", "skeleton", "top", "links"])
+
+    return best.join(by, "grp", "left").select("grp", "skeleton", "stats").mapInArrow(run, "grp string, skeleton string, top int, links array<int>")
+
+
+def constants(pages: DataFrame, texts: DataFrame, how: Wrapper) -> DataFrame:
+    """grp, node, code: the constant texts that are template. pages is BLOCKS, texts its counts."""
+    slots = texts.where((F.col("code") == 0) & (F.col("n") >= how.min_pages)).select("grp", "node", F.col("n").alias("pages"))
+    often = texts.where((F.col("code") != 0) & (F.col("n") >= how.min_share * how.min_pages)).join(slots, ["grp", "node"]).where(F.col("n") >= how.min_share * F.col("pages"))
+    often = cut(often.select("grp", "node", "code", F.col("n").alias("held")), "constants")
+    by = often.groupBy("grp").agg(F.collect_list(F.struct("node", "code")).alias("often"))
+    # A group's constants are few: each stands on min_share of its slot's pages. They meet the parts of its pages.
+    salt = F.pmod(F.xxhash64("code"), F.lit(how.salts))
+    parts = by.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(how.salts - 1).cast("long"))))
+    met = pages.withColumn("salt", salt).join(parts, ["grp", "salt"]).withColumn("texts", F.arrays_zip("node", "code", "plain"))
+    is_often = lambda x: F.array_contains("often", F.struct(x["node"].alias("node"), x["code"].alias("code")))
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x["plain"])
+    met = met.withColumn("fixed", F.filter("texts", is_often))
+    own = met.where(2 * total(F.col("fixed")) <= total(F.col("texts"))).select("grp", F.explode("fixed").alias("x")).groupBy("grp", F.col("x.node").alias("node"), F.col("x.code").alias("code")).agg(F.count(F.lit(1)).alias("own"))
+    return often.join(own, ["grp", "node", "code"]).where((F.col("own") >= 2) & (F.col("own") >= how.own_share * F.col("held"))).select("grp", "node", "code")
+
+
+def induce(rows: DataFrame, how: Wrapper) -> DataFrame:
+    """host, grp, template (JSON) of all hosts in rows (host, html)."""
+    hosts, best = grouped(cut(skeletons(rows, how), "skeletons"), how)
+    hosts, best = cut(hosts, "hosts"), cut(best, "trees")
+    first = cut(hosts.join(best.select("grp", F.to_json(F.struct("skeleton")).alias("template")), "grp").select("host", "grp", "template"), "templates")
+    found = cut(aligned(rows, first, how), "blocks")
+    each = found.select("grp", F.explode(F.arrays_zip("node", "code", "plain", "chars")).alias("x")).select("grp", "x.*")
+    texts = cut(each.groupBy("grp", "node", "code").agg(F.count(F.lit(1)).alias("n"), F.max("plain").alias("plain"), F.max("chars").alias("chars")), "texts")
+    fixed = constants(found, texts, how).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("node", "code"))).alias("fixed"))
+    made = main_parts(best, texts, how).join(fixed, "grp", "left").select("grp", F.to_json(F.struct("skeleton", "top", "links", "fixed")).alias("template"))
+    return cut(hosts.join(made, "grp").select("host", "grp", "template"), "templates")
+
+
+def _host(url: Column) -> Column:
+    return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
 def extract(pages: DataFrame, how: Wrapper = Wrapper()) -> DataFrame:
     """page_id, url, text and n_chars for every row of pages.
 
     pages needs page_id, url and html; other columns are ignored. A null html is empty and has an empty text; a null
-    or relative url has the host ''. Pages of one host share a template, whatever their number; a text is taken for
-    template only where a host has how.min_pages pages with its slot and how.min_share of them hold just that text.
-    Repeated rows each get their row, an empty table gives none. Broken markup is read as far as it goes.
+    or relative url has the host ''. Repeated rows each get their row, an empty table gives none. Broken markup is
+    read as HTML's tokenizer does, as far as it goes, at any depth; a text of any length is one text. Texts are
+    counted exactly, however many share a slot, so the result doesn't depend on how pages are partitioned. A host
+    with fewer than how.min_pages pages shares its template with small hosts of its layout; a group that stays
+    smaller has no constant texts, but a main part.
     """
-    spark = pages.sparkSession
-    ship(spark)
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))).alias("host"))
-    templates = cut(induce(rows, how), "templates")
-    size = templates.agg(F.sum(F.length("template"))).first()[0] or 0
-    constants = cut(count(with_templates(rows, templates, size, how), how), "constants")
-    size += constants.agg(F.sum(F.length("constants"))).first()[0] or 0
-    joined = with_templates(rows, templates.join(constants, "host", "left"), size, how).select("page_id", "url", "html", "template", "constants")
+    ship(pages.sparkSession)
+    url = F.col("url").cast("string")
+    rows = pages.select("page_id", url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), _host(url).alias("host"))
+    templates = induce(rows.select("host", "html"), how)
+    joined, finder = with_templates(rows, templates, how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [content(parse(h.as_py()), _load(t, c.as_py()) if (t := t_.as_py()) else None) for h, t_, c in zip(batch.column("html"), batch.column("template"), batch.column("constants"), strict=True)]
-            yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            find = finder(batch)
+            texts = [content(h.parse(source.as_py(), how.lists), find(i), how.lists) for i, source in enumerate(batch.column("html"))]
+            columns: list[Any] = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
+            yield pa.record_batch(columns, names=["page_id", "url", "text", "n_chars"])
 
     kind = dict(pages.dtypes)["page_id"]
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
