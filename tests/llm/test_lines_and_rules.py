@@ -56,13 +56,13 @@ def test_random_repeats_and_lines(spark):
     assert got == {i: (repeat_words(space_words(t)), dup_lines(t), len(space_words(t))) for i, t in texts}
 
 
-def test_cascade_order_saves_work_and_changes_no_verdict(spark):
+def test_cascade_order_changes_no_verdict(spark):
     df = docs(spark)
     how = quality_rules.Rules()
     given = quality_rules.rules(how)
     order = quality_rules.ordered(df, given, how)
     assert sorted(r.name for r in order) == sorted(r.name for r in given)
-    verdicts = [sorted((r[0] or -1, r[1]) for r in df.select("doc_id", quality_rules.with_statistics(F.col("text"), quality_rules.first_failed(x)).isNull()).collect()) for x in (given, order, given[::-1])]
+    verdicts = [sorted((r[0] or -1, r[1]) for r in df.select("doc_id", quality_rules.with_statistics(quality_rules.first_failed(x), how).isNull()).collect()) for x in (given, order, given[::-1])]
     assert verdicts[0] == verdicts[1] == verdicts[2]
     kept = quality_rules.keep(df)
     assert kept.columns == df.columns
@@ -70,6 +70,31 @@ def test_cascade_order_saves_work_and_changes_no_verdict(spark):
     assert quality_rules.keep(empty(spark)).count() == 0
 
 
+def test_cascade_order_saves_evaluations(spark):
+    """A dear rule that rejects little is tried last, and only on what the others leave."""
+    rows = [(i, f"{'word ' * 30}text {i}" if i % 4 else "#### ####") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    how = quality_rules.Rules()
+    slow = quality_rules.Rule("slow", lambda x: F.length(F.regexp_replace(F.repeat(x.text, 2000), "o+r", "")) < 5)
+    given = [slow, *[r for r in quality_rules.rules(how) if r.name in ("symbols", "word_length")]]
+    found = {e.rule.name: e for e in quality_rules.estimated(df, given, how)}
+    assert found["slow"].cost > found["symbols"].cost and found["symbols"].rejected == 0.25 and found["slow"].rejected == 0
+    order = quality_rules.ordered(df, given, how)
+    assert order[-1].name == "slow"
+    # A rule that isn't reached isn't evaluated: this one would raise.
+    touchy = quality_rules.Rule("touchy", lambda x: F.when(x.n < 10, F.raise_error(F.lit("evaluated")).cast("boolean")).otherwise(F.lit(False)))
+    few = quality_rules.rules(how)[0]
+    assert df.select(quality_rules.with_statistics(quality_rules.first_failed([few, touchy]), how).alias("f")).where("f is null").count() == 300
+    with pytest.raises(Exception, match="evaluated"):
+        df.select(quality_rules.with_statistics(quality_rules.first_failed([touchy, few]), how).alias("f")).collect()
+    reached = {}
+    for name, x in (("given", given), ("ordered", order)):
+        failed = [r[0] for r in df.select(quality_rules.with_statistics(quality_rules.first_failed(x), how)).collect()]
+        names = [r.name for r in x]
+        reached[name] = {n: sum(f is None or names.index(f) >= names.index(n) for f in failed) for n in names}
+    assert reached["given"]["slow"] == 400 and reached["ordered"]["slow"] == 300
+
+
 @pytest.mark.parametrize("name", ["op1", "op5"])
 def test_main_path_is_native(spark, name):
     df = line_dedup.report(docs(spark)) if name == "op1" else quality_rules.report(docs(spark))
