@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from shelfcast.llm.common import cut
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that name a license, and their labels.
 PHRASES = {
@@ -15,7 +17,7 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Openings of public license notices and their labels.
+#: Short forms, openings and whole texts of public license notices, and their labels.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
@@ -27,6 +29,23 @@ TEMPLATES = (
     ("mit", "Released under the MIT License"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("mit", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("gpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("cc-by-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/"),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
 )
 
 
@@ -57,11 +76,12 @@ def _grams(words: Column, k: int) -> Column:
     return F.when(n >= k, made)
 
 
-def _templates(docs: DataFrame, how: Scan) -> DataFrame:
-    """tpl, label, tn (words), tw (words), one row a template. Their number is fixed."""
+def _posts(spark: SparkSession, how: Scan) -> DataFrame:
+    """tpl, label, tn (words), tpos, h, tg (words): the template positions, one row for each gram. Their number is fixed."""
     rows = [(i, label, text) for i, (label, text) in enumerate(how.templates)]
-    out = docs.sparkSession.createDataFrame(rows, "tpl int, label string, text string")
-    return out.select("tpl", "label", _words(F.col("text")).alias("tw")).withColumn("tn", F.size("tw"))
+    out = spark.createDataFrame(rows, "tpl int, label string, text string").select("tpl", "label", _words(F.col("text")).alias("tw"))
+    out = out.select("tpl", "label", F.size("tw").alias("tn"), "tw", F.explode(_grams(F.col("tw"), how.k)).alias("g"))
+    return out.select("tpl", "label", "tn", F.col("g.pos").alias("tpos"), F.col("g.h").alias("h"), F.slice("tw", F.col("g.pos") + 1, how.k).alias("tg"))
 
 
 def _places(phrase: str, label: str) -> Column:
@@ -75,46 +95,63 @@ def _places(phrase: str, label: str) -> Column:
         return hit
 
     found = F.transform(F.filter(F.sequence(F.lit(0), F.size("words") - 1), here), lambda i: F.struct(i.alias("a"), F.lit(label).alias("label")))
-    return F.when(F.col("flat").contains(f" {phrase} "), found).otherwise(F.array().cast("array<struct<a:int,label:string>>"))
+    held = F.lit(True)
+    for part in dict.fromkeys(sorted(parts, key=len, reverse=True)):
+        held = held & F.array_contains("words", part)
+    return F.when(held, found).otherwise(F.array().cast("array<struct<a:int,label:string>>"))
+
 
+def _rows(docs: DataFrame, how: Scan) -> DataFrame:
+    """One row for each row of docs, without its text: doc_id, t (hash of the text), n_words, what the base phrases give, and met, the grams (pos, h, words) whose hash a template has.
 
-def _base(rows: DataFrame, how: Scan) -> DataFrame:
-    """Adds n_base, first_word, last_word and base (labels) from the columns words and flat (words between single spaces)."""
-    places = [_places(phrase, label) for phrase, label in how.phrases.items()]
-    rows = rows.withColumn("places", F.concat(*places))
+    The template hashes are few and fixed, so they are tested where the grams are made: only grams that will find
+    their partner in the join become rows.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    wanted = [r["h"] for r in _posts(docs.sparkSession, how).select("h").distinct().collect()]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), _words(text).alias("words"))
+    rows = rows.withColumn("places", F.concat(*[_places(phrase, label) for phrase, label in how.phrases.items()]))
+    met = F.filter(_grams(F.col("words"), how.k), lambda g: g["h"].isin(wanted))
+    met = F.transform(met, lambda g: F.struct(g["pos"].alias("pos"), g["h"].alias("h"), F.slice("words", g["pos"] + 1, how.k).alias("gram")))
     return rows.select(
-        "*",
+        "doc_id", "t", F.size("words").cast("long").alias("n_words"),
         F.size("places").cast("long").alias("n_base"),
         F.array_min(F.transform("places", lambda x: x["a"])).cast("long").alias("first_word"),
         F.array_max(F.transform("places", lambda x: x["a"])).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.transform("places", lambda x: x["label"]))).alias("base"),
+        met.alias("met"),
+    )
+
+
+def _spans(rows: DataFrame, how: Scan) -> DataFrame:
+    k = how.k
+    grams = rows.where(F.size("met") > 0).select(F.col("doc_id").alias("d"), "t", F.explode("met").alias("g")).select("d", "t", "g.*")
+    hits = grams.join(F.broadcast(_posts(rows.sparkSession, how)), "h").where(F.col("gram") == F.col("tg"))
+    # Rows equal in id and text bring the same hits: sets count them once.
+    diagonals = hits.groupBy("d", "t", "tpl", "label", "tn", (F.col("pos") - F.col("tpos")).alias("diag")).agg(
+        F.collect_set("tpos").alias("tposs"), F.min("pos").alias("first"), (F.max("pos") + (k - 1)).alias("last")
     )
+    same = Window.partitionBy("d", "t", "tpl").orderBy("diag")
+    before = F.lag(F.struct("diag", "first", "last")).over(same)
+    # A longer stretch of other words than this leaves less than min_share of the template on both sides together.
+    room = k + (1 - how.min_share) * F.col("tn")
+    apart = before.isNull() | (F.col("diag") - before["diag"] > how.slack) | (F.col("first") - before["last"] > room) | (before["first"] - F.col("last") > room)
+    runs = diagonals.withColumn("run", F.sum(apart.cast("int")).over(same))
+    cover = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("tposs")), lambda p: F.sequence(p, p + (k - 1)))))
+    found = runs.groupBy("d", "t", "tpl", "label", "tn", "run").agg(F.size(cover).alias("covered"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.size("tposs")).alias("votes"))
+    return found.withColumn("score", F.least(F.lit(1.0), F.col("covered") / F.col("tn")))
 
 
 def spans(docs: DataFrame, how: Scan = Scan()) -> DataFrame:
-    """Verified spans: d (doc_id), t (hash of the text), tpl, label, first and last word of the span, score (share of the template's words in it).
+    """Verified spans: d (doc_id), t (hash of the text), tpl, label, first and last word of the span, votes, score (share of the template's words in it).
 
-    Every k-word gram of every text meets the templates' grams in a join. Hits vote for their diagonal (place in the
-    text less place in the template); diagonals at most how.slack apart, as an inserted or missing word makes them,
-    merge into one span as long as they follow each other in text. A span counts if its hits cover at least
-    how.min_share of the template's words, compared word by word and not by hash.
+    The rolling k-word grams of every text meet the templates' grams in a join by hash and are compared word by word.
+    Hits vote for their diagonal (place in the text less place in the template). Diagonals at most how.slack apart, as
+    inserted or missing words make them, merge into one span if their places in the text also overlap or follow each
+    other with no more other words between than how.min_share leaves room for. score counts the template's words that
+    the span's hits cover; from how.min_share on a span names its license.
     """
-    k = how.k
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tpl = _templates(docs, how)
-    posts = tpl.select("tpl", "label", "tn", "tw", F.explode(_grams(F.col("tw"), k)).alias("g")).select("tpl", "label", "tn", F.slice("tw", F.col("g.pos") + 1, k).alias("tg"), F.col("g.pos").alias("tpos"), F.col("g.h").alias("h"))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("t"), _words(text).alias("words"))
-    grams = keyed.select("d", "t", "words", F.explode(_grams(F.col("words"), k)).alias("g")).select("d", "t", "words", "g.*")
-    met = grams.join(F.broadcast(posts), "h").where(F.slice("words", F.col("pos") + 1, k) == F.col("tg"))
-    hits = met.groupBy("d", "t", "tpl", "label", "tn", "tpos", "pos").agg(F.lit(1).alias("one"))
-    votes = hits.withColumn("diag", F.col("pos") - F.col("tpos"))
-    same = Window.partitionBy("d", "t", "tpl").orderBy("diag", "pos")
-    # Hits belong together while neither their diagonal nor their place in the text moves on by more than slack.
-    new = (F.col("diag") - F.lag("diag").over(same) > how.slack) | F.lag("diag").over(same).isNull()
-    runs = votes.withColumn("run", F.sum(new.cast("int")).over(same))
-    cover = F.array_distinct(F.flatten(F.collect_list(F.sequence("tpos", F.col("tpos") + (k - 1)))))
-    found = runs.groupBy("d", "t", "tpl", "label", "tn", "run").agg(F.size(cover).alias("covered"), F.min("pos").alias("first"), (F.max("pos") + (k - 1)).alias("last"), F.count(F.lit(1)).alias("votes"))
-    return found.withColumn("score", F.least(F.lit(1.0), F.col("covered") / F.col("tn")))
+    return _spans(_rows(docs, how), how)
 
 
 def scan(docs: DataFrame, how: Scan = Scan()) -> DataFrame:
@@ -122,15 +159,13 @@ def scan(docs: DataFrame, how: Scan = Scan()) -> DataFrame:
 
     base_labels come from the phrases; labels add those of templates found by diagonal voting. score is 1 where a
     phrase stands, else the best share of a template found, and 0 where none was. A null text counts as empty.
-    Equal rows each get their row. Other columns of docs are ignored.
+    Equal rows each get their row. Other columns of docs are ignored. Texts are read once, in time linear in their
+    length; what is found in them, without the texts, is written to the shared folder.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), _words(text).alias("words"))
-    rows = rows.withColumn("flat", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
-    base = _base(rows, how).select("doc_id", "t", F.size("words").cast("long").alias("n_words"), "n_base", "first_word", "last_word", "base")
+    rows = cut(_rows(docs, how), "license_rows")
     good = F.col("score") >= how.min_share
-    found = spans(docs, how).groupBy("d", "t").agg(F.collect_set(F.when(good, F.col("label"))).alias("more"), F.max("score").alias("best"))
-    out = base.alias("l").join(found.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.d")) & (F.col("l.t") == F.col("r.t")), "left")
+    found = _spans(rows, how).groupBy("d", "t").agg(F.collect_set(F.when(good, F.col("label"))).alias("more"), F.max("score").alias("best"))
+    out = rows.alias("l").join(found.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.d")) & (F.col("l.t") == F.col("r.t")), "left")
     empty = F.array().cast("array<string>")
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",

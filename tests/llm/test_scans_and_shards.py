@@ -1,4 +1,6 @@
+import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,15 +19,23 @@ def plain_scan(text, how=license_scan.Scan()):
     words = words_of(text)
     places = [(i, label) for phrase, label in how.phrases.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     labels, best = {label for _, label in places}, 0.0
+    at = {}
+    for i in range(len(words) - how.k + 1):
+        at.setdefault(tuple(words[i : i + how.k]), []).append(i)
     for label, template in how.templates:
         tw = words_of(template)
-        hits = sorted((i - j, i, j) for i in range(len(words) - how.k + 1) for j in range(len(tw) - how.k + 1) if words[i : i + how.k] == tw[j : j + how.k])
-        runs, before = [], None
-        for diag, _, j in hits:
-            if before is None or diag - before > how.slack:
+        diagonals = {}
+        for j in range(len(tw) - how.k + 1):
+            for i in at.get(tuple(tw[j : j + how.k]), ()):
+                diagonals.setdefault(i - j, []).append(j)
+        runs, before, room = [], None, how.k + (1 - how.min_share) * len(tw)
+        for diag, js in sorted(diagonals.items()):
+            first, last = diag + min(js), diag + max(js) + how.k - 1
+            if before is None or diag - before[0] > how.slack or first - before[2] > room or before[1] - last > room:
                 runs.append(set())
-            runs[-1].update(range(j, j + how.k))
-            before = diag
+            for j in js:
+                runs[-1].update(range(j, j + how.k))
+            before = diag, first, last
         for covered in runs:
             share = min(1.0, len(covered) / len(tw))
             best = max(best, share)
@@ -46,6 +56,36 @@ def test_scan_against_plain(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_edited_headers(spark):
+    """Every whole template is found, with words put in and left out here and there, and twice in one text."""
+    rng = random.Random(8)
+    given = []
+    for i, (_, text) in enumerate(license_scan.TEMPLATES):
+        words = text.split()
+        given.append((i, text))
+        if len(words) > 25:
+            at = rng.randrange(8, len(words) - 8)
+            given.append((100 + i, " ".join([*words[:at], "new", "words", *words[at + 1 :]])))
+        given.append((200 + i, f"{text} {'between ' * 50} {text.upper()}"))
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    for i, text in given:
+        assert tuple(got[i])[1:] == plain_scan(text)
+        assert license_scan.TEMPLATES[i % 100][0] in got[i]["labels"].split(",")
+
+
+def test_time_is_linear_in_the_text(spark):
+    spent = []
+    for n in (80_000, 320_000):
+        df = spark.createDataFrame([(1, " ".join(f"w{i % 9973}" for i in range(n)) + " Released under the MIT License")], "doc_id long, text string")
+        took = []
+        for _ in range(2):
+            began = time.perf_counter()
+            assert license_scan.scan(df).first()["n_words"] == n + 5
+            took.append(time.perf_counter() - began)
+        spent.append(min(took))
+    assert spent[1] < 4.5 * spent[0]
+
+
 def test_scan_is_native(spark):
     plan = license_scan.scan(docs(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
