@@ -39,6 +39,18 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be none of df's columns, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to Python workers where PYTHONPATH doesn't name it, so that they import it and keep its caches between tasks."""
     root = Path(__file__).resolve().parents[2]
