@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast import errors, schema
+from shelfcast.functions.exact import total as exact_total
+
+#: What counts as white space at the ends of an id.
+WHITE = r"\t\n\x0b\x0c\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 def window_sum(status: Column) -> Column:
@@ -21,9 +25,14 @@ def is_close(a: Column, b: Column) -> Column:
     return ~F.isnan(a) & ~F.isnan(b) & ((a == b) | (finite & near))
 
 
+def stripped(text: Column) -> Column:
+    """text without white space at its ends, tabs, line ends and Unicode spaces included."""
+    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
 def product_key(raw: Column) -> tuple[Column, Column]:
     """Canonical id, and whether it is an integer: text that reads as a whole number is that number, without sign or zeros in front."""
-    text = F.trim(raw)
+    text = stripped(raw)
     is_int = text.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$")
     digits = F.regexp_replace(F.regexp_replace(text, "_", ""), r"^[+-]?0*(?=[0-9])", "")
     number = F.when(text.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
@@ -47,13 +56,13 @@ def checked(raw: DataFrame, revision: str) -> DataFrame:
     key, is_int = product_key(F.col("product_id").cast("string"))
     sales, status, total = F.col("hours_sale"), F.col("hours_stock_status"), F.col("sale_amount").cast("double")
     counter = F.col("stock_hour6_22_cnt")
-    hour_sum = F.aggregate(sales, F.lit(0.0), lambda a, x: a + x)
+    hour_sum = exact_total(sales.cast("array<double>"))
     number_kinds = ("double", "float", "int", "bigint", "smallint", "tinyint")
     is_number = F.lit(kinds.get("sale_amount") in number_kinds or kinds.get("sale_amount", "").startswith("decimal"))
     row, length = "RowValidationError", "HourlyVectorLengthError"
     rules = [
         (F.col("product_id").isNull() | total.isNull() | sales.isNull() | status.isNull() | counter.isNull(), row, "missing field"),
-        (F.lit(not id_fits) | (F.trim(F.col("product_id").cast("string")) == ""), row, "product_id"),
+        (F.lit(not id_fits) | (stripped(F.col("product_id").cast("string")) == ""), row, "product_id"),
         (dt.isNull(), row, "no dt and no date"),
         (iso_date(dt).isNull(), row, "dt is not an ISO date"),
         (~is_number, row, "sale_amount"),

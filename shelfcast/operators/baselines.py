@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfcast import schema
 from shelfcast.errors import BaselineError, TargetNotInFutureError
+from shelfcast.functions.exact import total
 
 #: A model takes the history (array of (dt, y) by day, never empty), the target's day and the parameters.
 Model = Callable[[Column, Column, dict], Column]
@@ -33,7 +34,7 @@ def moving_average(history: Column, dt: Column, params: dict) -> Column:
     """Mean of the last rows (not days); a shorter history gives all it has."""
     w = params.get("window", schema.MOVING_AVERAGE_WINDOW)
     last = F.slice(_values(history), F.greatest(F.size(history) - (w - 1), F.lit(1)), F.lit(w))
-    return F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.size(last)
+    return total(last) / F.size(last)
 
 
 def ses(history: Column, dt: Column, params: dict) -> Column:

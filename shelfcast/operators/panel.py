@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast import errors, schema
 
+#: Offenders that an error names.
+SHOWN = 20
+
 
 class SnapshotContext(Enum):
     COMPLETE = "complete"
@@ -20,15 +23,32 @@ def product_order() -> list[Column]:
     return [F.col("product_is_int").desc(), F.col("product_id").asc()]
 
 
+def product_places(products: DataFrame) -> DataFrame:
+    """product_id and its place, from 1, in product_order() among products (product_id, product_is_int), which are distinct.
+
+    Ids are counted by the ranges that their first characters make, the counts are summed up in order, and only the ids
+    of one range are ranked together.
+    """
+    ranges = products.withColumn("kind", (~F.col("product_is_int")).cast("int")).withColumn("start", F.substring("product_id", 1, 4))
+    counts = ranges.groupBy("kind", "start").agg(F.count(F.lit(1)).alias("n"))
+    # A row for each range: each kind's starts are summed up apart, whole numbers first.
+    before = counts.select("kind", "start", F.coalesce(F.sum("n").over(Window.partitionBy("kind").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    whole = counts.agg(F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("n"))), F.lit(0)).alias("whole"))
+    inside = ranges.withColumn("inside", F.row_number().over(Window.partitionBy("kind", "start").orderBy("product_id")))
+    place = F.col("inside") + F.col("before") + F.when(F.col("kind") == 1, F.col("whole")).otherwise(F.lit(0))
+    return inside.join(before, ["kind", "start"]).join(F.broadcast(whole)).select("product_id", place.cast("int").alias("place"))
+
+
 def duplicate_keys(panel: DataFrame) -> DataFrame:
     """product_id, dt and n of keys that stand more than once."""
     return panel.groupBy("product_id", "dt").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def require_unique(panel: DataFrame) -> DataFrame:
-    found = duplicate_keys(panel).orderBy("product_id", "dt").collect()
+    found = duplicate_keys(panel).orderBy("product_id", "dt").limit(SHOWN + 1).collect()
     if found:
-        raise errors.DuplicateKeyError(f"keys that repeat: {[(r['product_id'], r['dt'].isoformat()) for r in found]}")
+        more = " and more; duplicate_keys() has all" if len(found) > SHOWN else ""
+        raise errors.DuplicateKeyError(f"keys that repeat: {[(r['product_id'], str(r['dt'])) for r in found[:SHOWN]]}{more}")
     return panel
 
 

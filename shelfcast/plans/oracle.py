@@ -3,20 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from shelfcast.operators.splits import Fold
-from shelfcast.plans.queries import EXPANDING, FOLDS, GAPPED
+
+class Ranges(NamedTuple):
+    """The days of a fold as this file knows them: written out, not taken from the code that it checks."""
+
+    fold: str
+    train: tuple[str, str]
+    validation: tuple[str, str]
+    test: tuple[str, str]
+    days: int = 1
+    span: int = 1
+
+    def parts(self) -> list[tuple[str, str, str]]:
+        return [("train", *self.train), ("validation", *self.validation), ("test", *self.test)]
+
+
+FOLDS = [
+    Ranges("fold-1", ("2024-01-01", "2024-01-18"), ("2024-01-19", "2024-01-21"), ("2024-01-22", "2024-01-24")),
+    Ranges("fold-2", ("2024-01-01", "2024-01-24"), ("2024-01-25", "2024-01-27"), ("2024-01-28", "2024-01-30")),
+]
+GAPPED = [Ranges("gapped", ("2024-01-03", "2024-01-15"), ("2024-01-18", "2024-01-20"), ("2024-01-24", "2024-01-28"), 12, 13)]
+EXPANDING = [
+    Ranges("1", ("2024-01-01", "2024-01-10"), ("2024-01-11", "2024-01-13"), ("2024-01-25", "2024-01-28")),
+    Ranges("2", ("2024-01-01", "2024-01-13"), ("2024-01-14", "2024-01-16"), ("2024-01-25", "2024-01-28")),
+    Ranges("3", ("2024-01-01", "2024-01-16"), ("2024-01-17", "2024-01-19"), ("2024-01-25", "2024-01-28")),
+    Ranges("4", ("2024-01-01", "2024-01-19"), ("2024-01-20", "2024-01-22"), ("2024-01-25", "2024-01-28")),
+]
+EDGE = Ranges("edge", ("2023-12-28", "2024-01-20"), ("2024-01-21", "2024-01-25"), ("2024-01-26", "2024-02-05"))
+OVERLAP = Ranges("overlap", ("2024-01-01", "2024-01-20"), ("2024-01-21", "2024-01-22"), ("2024-01-15", "2024-01-25"))
 
 PANEL = """h AS (SELECT user_id::VARCHAR product_id, ts::DATE dt, hour(ts) hr, CAST(sum(CAST(coalesce(value, 0) AS DECIMAL(18,2))) AS DOUBLE) v, sum(CAST(coalesce(value, 0) AS DECIMAL(18,2))) dv, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) s FROM events GROUP BY ALL),
 p AS (SELECT product_id, dt, CAST(sum(dv) AS DOUBLE) y, coalesce(sum(s) FILTER (hr BETWEEN 6 AND 21), 0)::INTEGER so, max(s) anyso FROM h GROUP BY ALL)"""
 
 
-def ranges(folds: Sequence[Fold]) -> str:
-    values = ", ".join(f"({i}, '{f.fold}', '{p}', DATE '{a}', DATE '{z}')" for i, f in enumerate(folds) for p, a, z in f.ranges())
+def ranges(folds: Sequence[Ranges]) -> str:
+    values = ", ".join(f"({i}, '{f.fold}', '{p}', DATE '{a}', DATE '{z}')" for i, f in enumerate(folds) for p, a, z in f.parts())
     return f"f(fold_rank, fold, part, a, z) AS (VALUES {values}), x AS (SELECT fold_rank, fold, part, p.* FROM p JOIN f ON dt BETWEEN a AND z)"
 
 
-def forecasts(folds: Sequence[Fold], partition: str, source: str = "x") -> str:
+def forecasts(folds: Sequence[Ranges], partition: str, source: str = "x") -> str:
     fit = "part = 'train'" if partition == "validation" else "part IN ('train', 'validation')"
     return f"""hist AS (SELECT fold, product_id, list(y ORDER BY dt) q FROM {source} WHERE {fit} GROUP BY ALL),
 t AS (SELECT * FROM {source} WHERE part = '{partition}'),
@@ -28,7 +55,7 @@ fc AS (SELECT 0 mr, 'naive' model, s.*, q[len(q)] pred FROM s
 why AS (SELECT *, CASE WHEN pred IS NULL THEN CASE WHEN q IS NULL THEN 'no training history for product' ELSE 'no seasonal lag observation in training' END END reason FROM fc)"""
 
 
-def grid(folds: Sequence[Fold], partition: str) -> str:
+def grid(folds: Sequence[Ranges], partition: str) -> str:
     names = ", ".join(f"({i}, '{f.fold}')" for i, f in enumerate(folds))
     return f"""WITH {PANEL}, {ranges(folds)}, {forecasts(folds, partition)},
 g AS (SELECT * FROM (VALUES {names}) a(fold_rank, fold), (VALUES (0, 'naive'), (1, 'seasonal_naive'), (2, 'moving_average'), (3, 'ses')) b(mr, model)),
@@ -54,14 +81,14 @@ DOTS = lambda c: f"replace(format('{{:,}}', {c}), ',', '.')"
 def _short(counted: str, universe: str) -> str:
     g = GAPPED[0]
     return f"""WITH {PANEL}, {ranges(GAPPED)}, n AS (SELECT fold, product_id, count(dt) FILTER ({counted})::INTEGER observed_days, coalesce((max(dt) FILTER ({counted}) - min(dt) FILTER ({counted})) + 1, 0)::INTEGER observed_span_days FROM x WHERE {universe} GROUP BY ALL)
-    SELECT *, {g.min_history_days}::INTEGER required_days, {g.min_history_span_days}::INTEGER required_span_days FROM n WHERE observed_days < {g.min_history_days} OR observed_span_days < {g.min_history_span_days}"""
+    SELECT *, {g.days}::INTEGER required_days, {g.span}::INTEGER required_span_days FROM n WHERE observed_days < {g.days} OR observed_span_days < {g.span}"""
 
 
 def _panel(select: str) -> str:
     return f"WITH {PANEL} {select}"
 
 
-def _folds(select: str, folds: Sequence[Fold] = FOLDS) -> str:
+def _folds(select: str, folds: Sequence[Ranges] = FOLDS) -> str:
     return f"WITH {PANEL}, {ranges(folds)} {select}"
 
 
@@ -75,8 +102,8 @@ def _test(select: str) -> str:
 
 STATE = "CASE WHEN {} = 1 THEN 'censored_or_partial' ELSE 'uncensored' END"
 BROKEN = """b AS (SELECT product_id true_id, dt true_dt, (product_id::INTEGER + day(dt)) % 11 k FROM p), e AS (SELECT true_id, true_dt, CASE k WHEN 1 THEN 'RowValidationError' WHEN 2 THEN 'RowValidationError' WHEN 3 THEN 'DailySumMismatchError' WHEN 4 THEN 'HourlyVectorLengthError' WHEN 5 THEN 'StockStatusValueError' WHEN 6 THEN 'StockCounterError' END error FROM b)"""
-GAP_ALL = (min(a for _, a, _ in GAPPED[0].ranges()), max(z for _, _, z in GAPPED[0].ranges()))
-SEGMENTS = ", ".join(f"('{f.fold}', {i}, '{p}', {(z - a).days + 1})" for f in FOLDS for i, (p, a, z) in enumerate(f.ranges()))
+GAP_ALL = ("2024-01-03", "2024-01-28")
+SEGMENTS = "('fold-1', 0, 'train', 18), ('fold-1', 1, 'validation', 3), ('fold-1', 2, 'test', 3), ('fold-2', 0, 'train', 24), ('fold-2', 1, 'validation', 3), ('fold-2', 2, 'test', 3)"
 
 ORACLE: dict[str, str] = {
     "daily_panel": _panel("SELECT product_id, dt, y sale_amount, so stock_hour6_22_cnt, so stockout_hours_6_22 FROM p"),
@@ -94,14 +121,14 @@ ORACLE: dict[str, str] = {
     "partition_rows": _folds(COUNTS),
     "excluded_rows": _folds(f"SELECT fold, excluded_out_of_range FROM ({COUNTS})", GAPPED),
     "split_assignment": _folds("SELECT product_id, dt, fold, part FROM x", GAPPED),
-    "missing_dates_global": _folds("SELECT fold, part, c::DATE dt FROM (SELECT fold, part, unnest(generate_series(a, z, INTERVAL 1 DAY)) c FROM f) WHERE c::DATE NOT IN (SELECT dt FROM p WHERE day(dt) % 5 <> 0)"),
+    "missing_dates_global": _folds("SELECT fold, part, c::DATE dt FROM (SELECT fold, part, unnest(generate_series(a, z, INTERVAL 1 DAY)) c FROM f) WHERE c::DATE NOT IN (SELECT dt FROM p)", [*FOLDS, EDGE]),
     "missing_dates_per_product": _folds(f"SELECT fold, product_id, c::DATE dt FROM (SELECT DISTINCT fold, product_id FROM x) u CROSS JOIN (SELECT unnest(generate_series(DATE '{GAP_ALL[0]}', DATE '{GAP_ALL[1]}', INTERVAL 1 DAY)) c) WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.fold = u.fold AND x.product_id = u.product_id AND x.dt = c::DATE)", GAPPED),
     "insufficient_history": _short("part = 'train'", "true"),
     "insufficient_fit_history": _short("part IN ('train', 'validation')", "true"),
     "fit_bounds": _folds("SELECT f.fold, count(x.dt) fit_row_count, min(x.dt) fit_history_start, max(x.dt) fit_history_end FROM (SELECT DISTINCT fold FROM f) f LEFT JOIN x ON x.fold = f.fold AND x.part IN ('train', 'validation') GROUP BY f.fold"),
     "expanding_folds_counts": _folds(COUNTS, EXPANDING),
-    "future_target_guard": _folds("SELECT count(*) n FROM x t JOIN (SELECT fold, product_id, max(dt) m FROM x WHERE part <> 'test' GROUP BY ALL) USING (fold, product_id) WHERE t.part = 'test' AND t.dt <= m"),
-    "fit_test_overlap": _folds("SELECT count(*) n FROM (SELECT fold, product_id, dt FROM x WHERE part <> 'test' INTERSECT SELECT fold, product_id, dt FROM x WHERE part = 'test')"),
+    "future_target_guard": _folds("SELECT t.fold, count(*) n FROM x t JOIN (SELECT fold, product_id, max(dt) m FROM x WHERE part <> 'test' GROUP BY ALL) USING (fold, product_id) WHERE t.part = 'test' AND t.dt <= m GROUP BY t.fold", [*FOLDS, OVERLAP]),
+    "fit_test_overlap": _folds("SELECT fold, count(*) n FROM (SELECT fold, product_id, dt FROM x WHERE part <> 'test' INTERSECT SELECT fold, product_id, dt FROM x WHERE part = 'test') GROUP BY fold", [*FOLDS, OVERLAP]),
     "naive_forecast": _forecast("naive"),
     "seasonal_naive_forecast": _forecast("seasonal_naive"),
     "moving_average_forecast": _forecast("moving_average"),
@@ -111,7 +138,7 @@ ORACLE: dict[str, str] = {
     "metrics_validation": grid(FOLDS, "validation") + f"SELECT {MEASURES} FROM m",
     "metrics_test": _test(f"SELECT {MEASURES} FROM m"),
     "evaluation_grid": _test(f"SELECT {MEASURES}, 'baseline-evaluation-v2' protocol FROM m"),
-    "wmape_status": f"WITH {PANEL.replace('p AS (', 'p0 AS (')}, p AS (SELECT * REPLACE (CASE WHEN product_id::INTEGER % 3 = 0 THEN 0.0 ELSE y END AS y) FROM p0), {ranges(FOLDS[:1])}, {forecasts(FOLDS[:1], 'test')} SELECT model, (product_id::INTEGER % 3)::INTEGER third, count(pred) evaluated, CASE WHEN count(pred) = 0 THEN 'no_evaluable_predictions' WHEN sum(abs(y)) FILTER (pred IS NOT NULL) = 0 THEN 'not_calculable_zero_actuals' ELSE 'calculable' END wmape_status FROM fc GROUP BY ALL",
+    "wmape_status": f"WITH {PANEL.replace('p AS (', 'p0 AS (')}, p AS (SELECT * REPLACE (CASE WHEN product_id::INTEGER % 3 = 0 THEN 0.0 ELSE y END AS y) FROM p0), {ranges(FOLDS)}, {forecasts(FOLDS, 'test')} SELECT fold, model, (product_id::INTEGER % 3)::INTEGER third, count(pred) evaluated, CASE WHEN count(pred) = 0 THEN 'no_evaluable_predictions' WHEN sum(abs(y)) FILTER (pred IS NOT NULL) = 0 THEN 'not_calculable_zero_actuals' ELSE 'calculable' END wmape_status FROM fc GROUP BY ALL",
     "coverage_facts": _panel("SELECT count(*) AS rows, count(DISTINCT product_id) products, min(dt) date_min, max(dt) date_max, (max(dt) - min(dt) + 1)::INTEGER calendar_span_days, count(*) FILTER (so > 0) stockout_rows, count(*) FILTER (anyso = 1) rows_with_any_observed_stockout_status, (max(dt) - min(dt) + 1 - count(DISTINCT dt))::INTEGER missing_dates FROM p"),
     "missing_dates_by_product": _panel("SELECT product_id, c::DATE dt FROM (SELECT DISTINCT product_id FROM p) u CROSS JOIN (SELECT unnest(generate_series(min(dt), max(dt), INTERVAL 1 DAY)) c FROM p) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.product_id = u.product_id AND p.dt = c::DATE)"),
     "seasonal_naive_by_fold": _test("SELECT fold, available, requested, round(coverage, 6) coverage, wmape_status FROM m WHERE model = 'seasonal_naive'"),

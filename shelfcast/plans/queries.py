@@ -20,6 +20,10 @@ FOLDS = splits.derive_folds(date(2024, 1, 1), 30)
 GAPPED = [splits.Fold("gapped", date(2024, 1, 3), date(2024, 1, 15), date(2024, 1, 18), date(2024, 1, 20), date(2024, 1, 24), date(2024, 1, 28), min_history_days=12, min_history_span_days=13)]
 EXPANDING = splits.expanding_window_folds(start=date(2024, 1, 1), initial_train_days=10, validation_days=3, folds=4, step_days=3, test_start=date(2024, 1, 25), test_days=4)
 
+#: A fold that begins before the events and ends after them, and one whose test range lies in its training, for the guards to find.
+EDGE = splits.Fold("edge", date(2023, 12, 28), date(2024, 1, 20), date(2024, 1, 21), date(2024, 1, 25), date(2024, 1, 26), date(2024, 2, 5))
+OVERLAP = splits.Fold("overlap", date(2024, 1, 1), date(2024, 1, 20), date(2024, 1, 21), date(2024, 1, 22), date(2024, 1, 15), date(2024, 1, 25))
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -141,8 +145,8 @@ def split_assignment(spark, d):
 
 @query
 def missing_dates_global(spark, d):
-    """Of a panel that lacks every fifth day."""
-    return splits.missing_dates(rows(spark, d).where(F.dayofmonth("dt") % 5 != 0), FOLDS)
+    """Of folds that reach past the panel's first and last day."""
+    return splits.missing_dates(rows(spark, d), [*FOLDS, EDGE])
 
 
 @query
@@ -172,12 +176,14 @@ def expanding_folds_counts(spark, d):
 
 @query
 def future_target_guard(spark, d):
-    return evaluation.future_violations(rows(spark, d), FOLDS, "test").agg(F.count(F.lit(1)).alias("n"))
+    """Offenders of each fold; only the overlapping one has any."""
+    return evaluation.future_violations(rows(spark, d), [*FOLDS, OVERLAP], "test").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def fit_test_overlap(spark, d):
-    return evaluation.overlap(rows(spark, d), FOLDS, "test").agg(F.count(F.lit(1)).alias("n"))
+    """Keys of each fold that stand on both sides; only the overlapping one has any."""
+    return evaluation.overlap(rows(spark, d), [*FOLDS, OVERLAP], "test").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _forecasts(spark, d, model=None, partition="test"):
@@ -236,8 +242,8 @@ def evaluation_grid(spark, d):
 def wmape_status(spark, d):
     """Statuses where sales of one product in three are zero and the season is out of reach."""
     p = rows(spark, d).withColumn("sale_amount", F.when(F.col("product_id").cast("int") % 3 == 0, 0.0).otherwise(F.col("sale_amount")))
-    out = evaluation.forecasts(p, FOLDS[:1], "test").withColumn("third", F.pmod(F.col("product_id").cast("int"), F.lit(3)))
-    return metrics.evaluate_metrics(out, ["model", "third"]).select("model", "third", "evaluated", "wmape_status")
+    out = evaluation.forecasts(p, FOLDS, "test").withColumn("third", F.pmod(F.col("product_id").cast("int"), F.lit(3)))
+    return metrics.evaluate_metrics(out, ["fold", "model", "third"]).select("fold", "model", "third", "evaluated", "wmape_status")
 
 
 @query
@@ -333,10 +339,7 @@ def bounded_prefix(spark, d):
 @query
 def product_sort_order(spark, d):
     """The place of each product in panel order."""
-    ids = rows(spark, d).select("product_id", "product_is_int").distinct()
-    from pyspark.sql import Window
-
-    return ids.select("product_id", F.row_number().over(Window.orderBy(*panel.product_order())).alias("place"))
+    return panel.product_places(rows(spark, d).select("product_id", "product_is_int").distinct())
 
 
 @query

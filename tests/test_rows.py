@@ -90,3 +90,16 @@ def test_hourly_and_targets(spark):
     assert hours[22]["sales_qty_observed"] == 1.0 and hours[22]["sales_observation_state"] == "censored_or_partial" and hours[0]["latent_demand_estimate"] is None
     target = panel.project_targets(rows).first()
     assert target["stockout_hours_6_22"] == 0 and target["observation_state"] == "censored_or_partial"
+
+
+def test_ids_lose_white_space_of_any_kind(spark):
+    rows = checked(spark.createDataFrame([raw(product_id=x) for x in ("\t38", "38\n", " 38 ", " \x1cP1\r\n", "\t\n", "　")], RAW), "rev").collect()
+    assert [r["product_id"] for r in rows] == ["38", "38", "38", "P1", "", ""] and [r["error"] for r in rows] == [None] * 4 + ["RowValidationError"] * 2
+
+
+def test_product_places(spark):
+    ids = ["379", "38", "4", "411", "-5", "0", "40000123", "40001", "P1", "P0001", "abc", "abcd", "abcde", "Ä"]
+    df = spark.createDataFrame([(x, x.lstrip("-").isdigit()) for x in ids], "product_id string, product_is_int boolean")
+    want = [r["product_id"] for r in df.orderBy(*panel.product_order()).collect()]
+    assert {r["product_id"]: r["place"] for r in panel.product_places(df).collect()} == {x: i + 1 for i, x in enumerate(want)}
+    assert panel.product_places(df.limit(0)).count() == 0
