@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import logging
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: White space that separates words in the text contracts: space and U+0009 to U+000D.
@@ -20,23 +24,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without it gets one of its own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without it gets one of its own, which goes with the session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="shelfcast-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder. What is left of it goes when the driver's interpreter ends."""
+    path = f"{shared_dir(spark)}/shelfcast/{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Best effort: the table is scratch, and whoever holds the file system may be gone."""
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception as e:  # noqa: BLE001
+        logging.getLogger(__name__).info("%s stays: %s", path, e)
+
+
+_OWN: set[str] = set()
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and a lost executor costs only its tasks."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/shelfcast/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shelfcast_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that cut() wrote. Only for those that nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "_shelfcast_path", None):
+            _remove(t.sparkSession, path)
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, by: Column, salts: int = 64) -> DataFrame:
+    """rows with the columns of lookup, which has one row for each key at most; rows without partner go.
+
+    Rows of a key are dealt to so many parts by the column by. The parts that there are fetch the key's row first, and
+    the rows meet it part by part, so that no task has all rows of a frequent key.
+    """
+    (salt,) = unused(rows.join(lookup, key), "salt")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)))
+    parts = salted.select(key, salt).distinct().join(lookup, key)
+    return salted.join(parts, [key, salt]).drop(salt)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.llm.common import cut, plus, ship
+from shelfcast.llm.common import cut, plus, ship, spread_join, unused
 from shelfcast.llm.graph import components
 
 #: Four 16-bit parts of a fingerprint. A bit that differs changes the population count of one part by one, so
@@ -21,13 +21,14 @@ PARTS = np.array([0xFFFF << s for s in (48, 32, 16, 0)], dtype=np.uint64)
 
 @dataclass(frozen=True)
 class SimHash:
-    """tile: fingerprints of a tile, the unit that tasks compare. strip: fingerprints of a strip inside a tile."""
+    """tile: fingerprints of a tile. strip: fingerprints of a strip inside a tile. block: neighbouring tiles that a task compares with as many others, at most."""
 
     shingle: int = 3
     seed: int = 42
     radius: int = 3
     tile: int = 16384
     strip: int = 128
+    block: int = 8
 
 
 def hashes(text: str, how: SimHash) -> list[int]:
@@ -185,37 +186,47 @@ def links(distinct: DataFrame, how: SimHash = SimHash()) -> DataFrame:
     order = ["p0", "p1", "p2", "p3", "fp"]
     made = keyed.repartitionByRange(n_tiles, *order).sortWithinPartitions(*order).select("fp").mapInArrow(tiles, "tile long, low array<int>, high array<int>, fps binary")
     made = cut(made, "tiles")
-    # Tiles are numbered without gaps by their order; each meets itself and those after it, joined by number.
-    boxes = [r for r in made.select("tile", "low", "high").collect()]
-    boxes.sort(key=lambda r: r["tile"])
-    pairs = spark.createDataFrame(_tile_pairs([(r["tile"], r["low"], r["high"]) for r in boxes], how.radius), "a long, partners array<long>").selectExpr("a", "explode(partners) as b")
-    spread = tasks_for(len(boxes))
-    held = pairs.join(made.selectExpr("tile as a", "fps as fa"), "a").join(made.selectExpr("tile as b", "fps as fb"), "b").repartition(spread, "a", "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, fa, b, fb in zip(*(batch.column(c) for c in ("a", "fa", "b", "fb")), strict=True):
-                left, right = (np.frombuffer(x.as_buffer(), dtype="<u8").astype(np.uint64) for x in (fa, fb))
-                u, v = near_pairs(left, right, a.as_py() == b.as_py(), how)
-                if len(u):
-                    yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
-
-    return held.mapInArrow(compare, "u long, v long")
-
-
-def tasks_for(n_tiles: int) -> int:
-    """About eight tile pairs a task."""
-    return max(1, min(20_000, n_tiles * (n_tiles + 1) // 16))
+    # Numbers travel first. Pairs of tiles are compared by blocks of neighbouring tiles, so that a tile comes once to each block.
+    block = max(1, min(how.block, n_tiles // 32))
+    number = lambda c: F.shiftright(c, 20).cast("long") - F.pmod(F.shiftright(c, 20), F.lit(block))
+    pairs = cut(tile_pairs(made, how.radius).select("a", "b", number("a").alias("ga"), number("b").alias("gb")), "tile_pairs")
+    needed = pairs.select("ga", "gb", F.explode(F.array("a", "b")).alias("tile")).distinct().join(made.select("tile", "fps"), "tile")
+    listed = pairs.groupBy(F.col("ga").alias("la"), F.col("gb").alias("lb")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("pairs"))
+
+    def compare(keys: tuple, held: pa.Table, todo: pa.Table) -> pa.Table:
+        fps = {t: np.frombuffer(x.as_buffer(), dtype="<u8").astype(np.uint64) for t, x in zip(held.column("tile").to_pylist(), held.column("fps"), strict=True)}
+        us, vs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for pair in todo.column("pairs").to_pylist()[0]:
+            u, v = near_pairs(fps[pair["a"]], fps[pair["b"]], pair["a"] == pair["b"], how)
+            us.append(u)
+            vs.append(v)
+        u, v = _stars(np.concatenate(us), np.concatenate(vs))
+        return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
+
+    both = needed.groupBy("ga", "gb").cogroup(listed.groupBy("la", "lb"))
+    return both.applyInArrow(compare, "u long, v long")
+
+
+def tile_pairs(made: DataFrame, radius: int) -> DataFrame:
+    """a, b: the pairs of tiles (a <= b, each with itself) whose population counts leave room for fingerprints within the radius.
+
+    A range join on the counts of the first two parts: tiles meet in the cells of count by count that they cover, one of
+    them widened by the radius, and a pair is kept in the first cell that they share.
+    """
+    span = lambda i, wide: F.explode(F.sequence(F.get("low", F.lit(i)) - wide, F.get("high", F.lit(i)) + wide))
 
+    def cells(name: str, wide: int) -> DataFrame:
+        out = made.select(F.col("tile").alias(name), F.col("low").alias(f"low_{name}"), F.col("high").alias(f"high_{name}"), "low", "high").withColumn("c0", span(0, wide)).withColumn("c1", span(1, wide))
+        return out.drop("low", "high")
 
-def _tile_pairs(boxes: list[tuple[int, list[int], list[int]]], radius: int) -> list[tuple[int, list[int]]]:
-    tile = np.array([b[0] for b in boxes], dtype=np.int64)
-    low, high = (np.array([b[i] for b in boxes], dtype=np.int64).reshape(-1, len(PARTS)) for i in (1, 2))
-    out = []
-    for i in range(len(tile)):
-        gap = np.maximum(0, np.maximum(low[i:] - high[i], low[i] - high[i:])).sum(axis=1)
-        out.append((int(tile[i]), tile[i:][gap <= radius].tolist()))
-    return out
+    gap = F.lit(0)
+    for i in range(len(PARTS)):
+        low_a, high_a, low_b, high_b = (F.get(c, F.lit(i)) for c in ("low_a", "high_a", "low_b", "high_b"))
+        gap = gap + F.greatest(F.lit(0), low_b - high_a, low_a - high_b)
+    first = F.lit(True)
+    for i in range(2):
+        first = first & (F.col(f"c{i}") == F.greatest(F.get("low_a", F.lit(i)) - radius, F.get("low_b", F.lit(i))))
+    return cells("a", radius).join(cells("b", 0), ["c0", "c1"]).where((F.col("a") <= F.col("b")) & first & (gap <= radius)).select("a", "b")
 
 
 def groups(fps: DataFrame, how: SimHash = SimHash()) -> DataFrame:
@@ -237,14 +248,16 @@ def near_duplicates(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
     table gives none. Other columns of docs are ignored.
     """
     fps = cut(with_fingerprint(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), "fp", how).select("doc_id", "fp"), "docs_fp")
-    out = fps.join(groups(fps, how), "fp")
+    out = spread_join(fps, groups(fps, how), "fp", F.col("doc_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, how: SimHash = SimHash()) -> DataFrame:
     """docs with one row of each component: that with the least doc_id (null last), of these that with the least text hash, of equal rows one."""
-    keyed = with_fingerprint(docs.withColumn("text", F.col("text").cast("string")), "__fp", how).withColumn("__row", F.monotonically_increasing_id())
+    fp, row = unused(docs, "fp", "row")
+    keyed = with_fingerprint(docs.withColumn("text", F.col("text").cast("string")), fp, how).withColumn(row, F.monotonically_increasing_id())
     held = cut(keyed, "docs_fp")
-    fps = held.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__fp").alias("fp"), "__row", F.xxhash64("text").alias("t"))
-    keep = fps.join(groups(fps, how), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t", "__row")).alias("k")).select(F.col("k.__row").alias("__row"))
-    return held.join(keep, "__row", "left_semi").select(*docs.columns)
+    fps = held.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"), F.xxhash64("text").alias("t"))
+    rooted = spread_join(fps, groups(fps, how).select("fp", "root"), "fp", F.col("row"))
+    keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t", "row")).alias("k")).select(F.col("k.row").alias(row))
+    return held.join(keep, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
