@@ -112,7 +112,7 @@ def test_index_recall(spark):
     vectors = table(spark, SF, "embeddings")
     rows = sorted((r["vec_id"], r["embedding"]) for r in vectors.collect())
     ids, x = [i for i, _ in rows], np.array([v for _, v in rows], dtype=np.float64)
-    for how in (Index(), Index(least=40, share=0.3)):
+    for how in (Index(), Index(tested=0, share=0.2), Index(block=(64, 64), chunk=10)):
         got = {}
         for r in permutation_index.nearest(vectors, how).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -144,13 +144,13 @@ def resampled(spark, n):
     return x / np.linalg.norm(x, axis=1, keepdims=True), rng
 
 
-def recalls(spark, path, x, how):
+def recalls(spark, path, x, how, files=1):
     """Query ids and the recall of each, by scores, as equal vectors tie."""
-    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float64()))}), path)
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "1")  # full blocks
-    got = permutation_index.nearest(spark.read.parquet(str(path)).coalesce(1), how).toPandas()
-    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    path.mkdir()
+    for i in range(files):
+        at = np.arange(i, len(x), files)
+        pq.write_table(pa.table({"vec_id": at, "embedding": pa.array(list(x[at]), pa.list_(pa.float64()))}), path / f"{i}.parquet")
+    got = permutation_index.nearest(spark.read.parquet(str(path)), how).toPandas()
     out = {}
     for q, found in got.groupby("query_id"):
         want = np.delete(x @ x[q], q)
@@ -181,6 +181,53 @@ def test_index_recall_of_unequal_lengths(spark, tmp_path):
 
 
 @needs_tables
-def test_index_recall_of_a_full_block_without_floor(spark, tmp_path):
+def test_index_recall_of_full_blocks_in_any_number_of_files(spark, tmp_path):
     x, _ = resampled(spark, 17_000)
-    assert recalls(spark, tmp_path / "full.parquet", x, Index(least=0, every=100))[1].mean() >= 0.9
+    found = [recalls(spark, tmp_path / f"{n}", x, Index(every=100), n) for n in (1, 4, 64)]
+    assert all(r.mean() >= 0.9 for _, r in found)
+    assert all(np.array_equal(r, found[0][1]) for _, r in found)  # files don't matter
+    for how in (Index(every=100, block=(17_000, 17_000)), Index(every=100, tested=0, share=0.15)):
+        assert recalls(spark, tmp_path / f"{how.tested}", x, how)[1].mean() >= 0.9
+
+
+def test_search_costs_less_than_brute_force():
+    """One block of 16,384 vectors, 820 queries, one thread: against a matrix product with the best of each row."""
+    import time
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(16_384, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = x[::20]
+    how = Index(tested=0, share=0.1)
+    pivots = permutation_index.raised(x[rng.permutation(len(x))[: how.pivots]], 1.0)
+    near = permutation_index.orders(permutation_index.raised(x, 1.0), pivots, how.prefix)
+    flat = near.ravel()
+    sort = np.argsort(flat, kind="stable")
+    crowd, place = np.divmod(sort, how.prefix)
+    block = (np.arange(len(x)), x, np.arange(len(x) + 1), np.searchsorted(flat[sort], np.arange(len(pivots) + 1)), crowd.astype(np.int32), place.astype(np.int16))
+    began = time.process_time()
+    _, found, _ = permutation_index.search(block, np.arange(0, len(x), 20), q, near[::20], how)
+    mine, began = time.process_time() - began, time.process_time()
+    score = q @ x.T
+    score[np.arange(len(q)), np.arange(0, len(x), 20)] = -np.inf
+    best = np.argpartition(-score, 20, axis=1)[:, :20]
+    brute = time.process_time() - began
+    met = sum(len(set(a) & set(b)) for a, b in zip(found.reshape(-1, 20).tolist(), best.tolist(), strict=True)) / best.size
+    print(f"search {mine:.2f} s, brute force {brute:.2f} s, recall {met:.3f}")
+    assert met >= 0.9
+
+
+def test_vectors_of_any_length_are_searched(spark):
+    """A vector of another length takes no other out."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(200)] + [(1000 + i, rng.normal(size=2).tolist()) for i in range(30)] + [(5000, [1.0] * 7)]
+    got = {}
+    for r in permutation_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert {q: len(x) for q, x in got.items()} == {i: 20 for i in range(0, 200, 20)} | {1000: 20, 1020: 20}
+    hits = []
+    for q, found in got.items():
+        ids = [i for i, v in rows if len(v) == (3 if q < 1000 else 2)]
+        x = np.array([v for i, v in rows if i in set(ids)])
+        hits.append(len({i for _, i in exact(ids, x, q)} & {i for _, i in found}) / 20)
+    assert sum(hits) / len(hits) >= 0.9
