@@ -138,9 +138,67 @@ def fit_bounds(panel: DataFrame, folds: Sequence[Fold], partition: str) -> DataF
     return grid(panel.sparkSession, folds).join(rows, "fold", "left").select("fold", F.coalesce("fit_row_count", F.lit(0)).alias("fit_row_count"), "fit_history_start", "fit_history_end")
 
 
-def split_temporal(panel: DataFrame, fold: Fold) -> DataFrame:
-    """panel with fold and part for one fold, its bounds checked."""
-    return assign(panel, [fold.check_order()])
+@dataclass(frozen=True)
+class TemporalSplit:
+    """One fold over a panel. rows: the panel's rows with fold and part; the reports are tables, worked out when asked for."""
+
+    panel: DataFrame
+    fold: Fold
+
+    @property
+    def rows(self) -> DataFrame:
+        return assign(self.panel, [self.fold])
+
+    def part(self, name: str) -> DataFrame:
+        """The panel's rows of train, validation or test; none for a part that the fold doesn't have."""
+        if name not in schema.PARTS:
+            raise ValueError(f"part must be one of {schema.PARTS}, not {name!r}")
+        return self.rows.where(F.col("part") == name).select(*self.panel.columns)
+
+    @property
+    def train(self) -> DataFrame:
+        return self.part("train")
+
+    @property
+    def validation(self) -> DataFrame:
+        return self.part("validation")
+
+    @property
+    def test(self) -> DataFrame:
+        return self.part("test")
+
+    @property
+    def row_counts(self) -> DataFrame:
+        return row_counts(self.panel, [self.fold])
+
+    @property
+    def missing_dates(self) -> DataFrame:
+        return missing_dates(self.panel, [self.fold]).select("part", "dt")
+
+    @property
+    def missing_per_product(self) -> DataFrame:
+        return missing_per_product(self.panel, [self.fold]).drop("fold")
+
+    @property
+    def insufficient_history(self) -> DataFrame:
+        return insufficient_history(self.panel, [self.fold]).drop("fold")
+
+    @property
+    def excluded_out_of_range(self) -> int:
+        return self.row_counts.first()["excluded_out_of_range"]
+
+
+def split_temporal(panel: DataFrame, fold: Fold) -> TemporalSplit:
+    """The split of a panel by one fold, its bounds checked and the rows to fit found to end before the rows to forecast."""
+    fold.check_order()
+    split = TemporalSplit(panel, fold)
+    ends = split.rows.groupBy("part").agg(F.min("dt").alias("first"), F.max("dt").alias("last"))
+    before: date | None = None
+    for _, first, last in sorted((schema.PARTS.index(r["part"]), r["first"], r["last"]) for r in ends.collect()):
+        if before and first <= before:
+            raise InvalidBoundaryOrderError(f"rows of {first} are not after those of {before}")
+        before = last
+    return split
 
 
 def expanding_window_folds(*, start: date, initial_train_days: int, validation_days: int, folds: int, step_days: int, test_start: date | None = None, test_days: int | None = None, min_history_days: int = 1, min_history_span_days: int = 1) -> list[Fold]:

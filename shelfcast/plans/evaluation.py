@@ -15,6 +15,12 @@ from shelfcast import schema
 from shelfcast.errors import TargetNotInFutureError
 from shelfcast.operators import baselines, metrics, panel, splits
 from shelfcast.operators.splits import Fold
+from shelfcast.plans.report import BenchmarkReport, Contract
+
+
+VALIDATION, TEST = "validation", "test"
+PARTITIONS = (VALIDATION, TEST)
+PROTOCOL_KEYS = ("evaluation_protocol_version", "evaluation_partition", "fit_partition", "test_excluded_from_fit", "baseline_parameters_fixed")
 
 
 def _text(value: object, name: str) -> str:
@@ -46,13 +52,16 @@ class SplitConfig:
 
 @dataclass(frozen=True)
 class BaselineConfig:
-    """Exactly the four models, in any order, with fixed parameters."""
+    """Exactly the four models, in any order, with fixed parameters, and any registered models of one's own in extra."""
 
     models: tuple[str, ...] = schema.MODELS
     moving_average_window: int = schema.MOVING_AVERAGE_WINDOW
     ses_alpha: float = schema.SES_ALPHA
+    extra: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
+        if unknown := sorted(set(self.extra) - (set(baselines.BASELINES) - set(schema.MODELS))):
+            raise ValueError(f"models that aren't registered: {unknown}")
         given = list(self.models)
         if unknown := sorted({str(m) for m in given} - set(schema.MODELS)):
             raise ValueError(f"unknown models: {unknown}")
@@ -60,7 +69,7 @@ class BaselineConfig:
             raise ValueError(f"models that repeat: {twice}")
         if missing := [m for m in schema.MODELS if m not in given]:
             raise ValueError(f"missing models: {missing}")
-        object.__setattr__(self, "models", schema.MODELS)
+        object.__setattr__(self, "models", (*schema.MODELS, *self.extra))
         baselines.check_params(self.moving_average_window, self.ses_alpha)
 
 
@@ -105,7 +114,7 @@ def forecasts(rows: DataFrame, folds: Sequence[Fold], partition: str, how: Basel
     revision = F.col("revision") if "revision" in rows.columns else F.lit(None).cast("string")
     role = F.when(F.col("part") == partition, "target").otherwise("fit")
     named = held.select("fold_rank", "fold", "product_id", "dt", F.col("sale_amount").alias(schema.TARGET), "stockout_hours_6_22", censored.alias("observation_state"), revision.alias("revision"), role.alias("role"))
-    return baselines.forecast(named, window=how.moving_average_window, alpha=how.ses_alpha, keys=("fold_rank", "fold", "product_id"))
+    return baselines.forecast(named, window=how.moving_average_window, alpha=how.ses_alpha, models={m: baselines.BASELINES[m] for m in how.models}, keys=("fold_rank", "fold", "product_id"))
 
 
 def evaluation_grid(rows: DataFrame, folds: Sequence[Fold], partition: str, how: BaselineConfig = BaselineConfig()) -> DataFrame:
@@ -146,22 +155,59 @@ def missing_dates_by_product(rows: DataFrame) -> DataFrame:
     return rows.groupBy("product_id").agg(F.collect_set("dt").alias("seen")).join(F.broadcast(span)).select("product_id", F.array_sort(F.array_except("days", "seen")).alias("dates"))
 
 
+#: Reports by product, as tables, and the columns that their entries show.
+HISTORY = ("product_id", "observed_days", "observed_span_days", "required_days", "required_span_days")
+
+
 @dataclass(frozen=True)
 class EvaluationReport:
+    """Measures and statuses by fold, which are few, and tables by product (missing_per_product, insufficient_history, insufficient_fit_history), which stay distributed until to_dict asks for them."""
+
     config: EvaluationConfig
     protocol: dict[str, Any]
     results: tuple[dict[str, Any], ...]
     fold_statuses: tuple[dict[str, Any], ...]
+    tables: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
-    def to_dict(self) -> dict[str, Any]:
-        return {"config": self.config.to_dict(), "protocol": self.protocol, "results": list(self.results), "fold_statuses": list(self.fold_statuses)}
+    def _listed(self, name: str) -> dict[str, list[dict[str, Any]]]:
+        out: dict[str, list] = {s["fold"]: [] for s in self.fold_statuses}
+        for r in self.tables[name].orderBy("fold", *panel.product_order()).collect():
+            entry = {"product_id": r["product_id"], "dates": [_day(d) for d in r["dates"]]} if name == "missing_per_product" else {k: r[k] for k in HISTORY}
+            out[r["fold"]].append(entry)
+        return out
 
-    def to_json(self) -> str:
-        return json.dumps(self.to_dict(), sort_keys=True)
+    def to_dict(self, products: bool = True) -> dict[str, Any]:
+        """With products, each fold lists its products; only then do these come to the driver."""
+        statuses, results = [dict(s) for s in self.fold_statuses], [dict(r) for r in self.results]
+        if products and self.tables:
+            listed = {name: self._listed(name) for name in self.tables}
+            for s in statuses:
+                s.update({name: found[s["fold"]] for name, found in listed.items()})
+            for r in results:
+                r["insufficient_fit_history"] = listed["insufficient_fit_history"][r["fold"]]
+        return {"config": self.config.to_dict(), "protocol": self.protocol, "results": results, "fold_statuses": statuses}
+
+    def to_json(self, products: bool = True) -> str:
+        return json.dumps(self.to_dict(products), sort_keys=True)
 
 
 def run_baseline_evaluation(rows: DataFrame, config: EvaluationConfig) -> EvaluationReport:
-    """Checks keys, revision and folds in this order, then evaluates. Only counts, dates, measures and the products with gaps come to the driver."""
+    """Checks keys, revision and folds in this order, then evaluates.
+
+    rows is read once: the columns that count, without the hourly vectors, are kept while the report is made. Only
+    counts, dates of folds and measures come to the driver.
+    """
+    flag = F.exists("hours_stock_status", lambda x: x == 1) if "hours_stock_status" in rows.columns else F.lit(None).cast("boolean")
+    kept = [c for c in ("product_id", "product_is_int", "dt", "sale_amount", "stockout_hours_6_22", "revision") if c in rows.columns]
+    slim = rows.select(*kept, F.when(flag.isNotNull(), F.array(flag.cast("int"))).alias("hours_stock_status"))
+    held = slim.persist()
+    try:
+        return _report(held, slim, config)
+    finally:
+        held.unpersist()
+
+
+def _report(rows: DataFrame, source: DataFrame, config: EvaluationConfig) -> EvaluationReport:
     panel.require_unique(rows)
     found = panel.revisions(rows)
     if len(found) > 1 or (found and found[0] != config.dataset_revision):
@@ -177,36 +223,44 @@ def run_baseline_evaluation(rows: DataFrame, config: EvaluationConfig) -> Evalua
             out[r["fold"]].append(r)
         return out
 
-    ids = rows.select("product_id", "product_is_int").distinct()
-
-    def listed(df: DataFrame) -> dict[str, list]:
-        out: dict[str, list] = {str(f.fold): [] for f in folds}
-        for r in df.join(ids, "product_id").orderBy(*panel.product_order()).collect():
-            out[r["fold"]].append(r)
-        return out
-
+    ids = source.select("product_id", "product_is_int").distinct()
+    tables = {"missing_per_product": splits.missing_per_product(source, folds), "insufficient_history": splits.insufficient_history(source, folds), "insufficient_fit_history": splits.insufficient_fit_history(source, folds, part)}
+    tables = {name: t.join(ids, "product_id") for name, t in tables.items()}
     counts, bounds = by_fold(splits.row_counts(rows, folds)), by_fold(splits.fit_bounds(rows, folds, part))
-    missing, gaps = by_fold(splits.missing_dates(rows, folds), "dt"), listed(splits.missing_per_product(rows, folds))
-    short, short_fit = listed(splits.insufficient_history(rows, folds)), listed(splits.insufficient_fit_history(rows, folds, part))
-    history = ("product_id", "observed_days", "observed_span_days", "required_days", "required_span_days")
-    as_dicts = lambda found: [{k: r[k] for k in history} for r in found]
+    missing = by_fold(splits.missing_dates(rows, folds), "dt")
     envelope = {"evaluation_protocol_version": schema.PROTOCOL_VERSION, "fit_partition": config.fit_partition, "test_excluded_from_fit": True}
     statuses, fits = [], {}
     for f in folds:
         name = str(f.fold)
         n, b = counts[name][0], bounds[name][0]
-        fits[name] = {"fit_row_count": b["fit_row_count"], "fit_history_start": _day(b["fit_history_start"]), "fit_history_end": _day(b["fit_history_end"]), "insufficient_fit_history": as_dicts(short_fit[name])}
+        fits[name] = {"fit_row_count": b["fit_row_count"], "fit_history_start": _day(b["fit_history_start"]), "fit_history_end": _day(b["fit_history_end"])}
         statuses.append(
-            _bounds(f) | envelope | fits[name] | {f"{p}_rows": n[f"{p}_rows"] for p in schema.PARTS} | {f"missing_{p}_dates": [_day(r["dt"]) for r in missing[name] if r["part"] == p] for p in schema.PARTS}
-            | {"evaluation_rows": n[f"{part}_rows"], "evaluable": n[f"{part}_rows"] > 0, "excluded_out_of_range": n["excluded_out_of_range"], "insufficient_history": as_dicts(short[name])}
-            | {"missing_per_product": [{"product_id": r["product_id"], "dates": [_day(d) for d in r["dates"]]} for r in gaps[name]]}
+            _bounds(f) | {"fold": name} | envelope | fits[name] | {f"{p}_rows": n[f"{p}_rows"] for p in schema.PARTS} | {f"missing_{p}_dates": [_day(r["dt"]) for r in missing[name] if r["part"] == p] for p in schema.PARTS}
+            | {"evaluation_rows": n[f"{part}_rows"], "evaluable": n[f"{part}_rows"] > 0, "excluded_out_of_range": n["excluded_out_of_range"]}
         )
     by_name = {str(f.fold): f for f in folds}
     results = []
     for r in evaluation_grid(rows, folds, part, config.baselines).orderBy("fold_rank", "model_rank").collect():
         results.append(
-            _bounds(by_name[r["fold"]]) | envelope | fits[r["fold"]] | {k: r[k] for k in metrics.MEASURES}
+            _bounds(by_name[r["fold"]]) | {"fold": r["fold"]} | envelope | fits[r["fold"]] | {k: r[k] for k in metrics.MEASURES}
             | {"model": r["model"], "evaluation_id": config.evaluation_id, "source_id": config.source_id, "dataset_revision": config.dataset_revision, "evaluation_partition": part, "product_group": config.splits.product_group, "target": schema.TARGET, "configuration": config.to_dict()}
         )
     protocol = envelope | {"evaluation_partition": part, "baseline_parameters_fixed": True}
-    return EvaluationReport(config, protocol, tuple(results), tuple(statuses))
+    return EvaluationReport(config, protocol, tuple(results), tuple(statuses), tables)
+
+
+def benchmark_report(rows: DataFrame, config: EvaluationConfig, contract: Contract, *, dataset: str, mode: str, max_rows: int, rule: str = "", limitations: Sequence[str] = (), warnings: Sequence[str] = ()) -> dict[str, Any]:
+    """A whole report as load_report reads it: the evaluation, the coverage of the panel, the folds and how they were derived (rule), and the seasonal model by fold."""
+    made = run_baseline_evaluation(rows, config)
+    whole = made.to_dict(products=False)
+    facts = coverage_facts(rows).first().asDict()
+    coverage = {k: v.isoformat() if isinstance(v, date) else v for k, v in facts.items() if k != "missing_dates"} | {"missing_dates": [_day(d) for d in facts["missing_dates"] or []]}
+    data = whole["protocol"] | {
+        "schema": contract.schema, "evaluation_id": config.evaluation_id, "dataset": dataset, "dataset_revision": config.dataset_revision, "evaluation_mode": mode, "bounded_real_evaluation": mode == "bounded",
+        "max_rows": max_rows, "rows_loaded": facts["rows"], "models": list(config.baselines.models), "results": whole["results"], "fold_statuses": whole["fold_statuses"], "protocol": whole["protocol"],
+        "coverage": coverage, "fold_derivation": {"rule": rule, "folds": [_bounds(f) | {"fold": str(f.fold)} for f in config.splits.folds]},
+        "seasonal_naive_by_fold": {r["fold"]: {k: r[k] for k in ("available", "requested", "coverage", "wmape_status")} for r in whole["results"] if r["model"] == "seasonal_naive"},
+        "configuration": whole["config"], "limitations": list(limitations), "warnings": list(warnings),
+    }
+    BenchmarkReport.from_dict(data, contract)
+    return data

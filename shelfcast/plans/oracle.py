@@ -153,6 +153,10 @@ ORACLE: dict[str, str] = {
     "bar_widths": _test("SELECT fold, metric, model, round(coalesce(value / nullif(top, 0), 0.0), 6) width FROM o"),
     "conclusion_summary": _test("SELECT fold, " + ", ".join(f"max(model) FILTER (metric = '{m}') {m}_model, round(max(value) FILTER (metric = '{m}'), 6) {m}_value" for m in ("mae", "rmse", "wmape")) + " FROM best GROUP BY fold"),
     "observations": _test(f"SELECT model || ' has the smallest ' || upper(metric) || ' in ' || fold || ' (' || {PLACES('value', 3)} || ').' AS text FROM best UNION ALL SELECT 'No single model has the smallest error for every metric in both folds.' FROM won WHERE NOT has_universal_winner"),
+    "localized_observations": _test(f"""SELECT 'En la Partición ' || (fold_rank + 1) || ', el ' || CASE model WHEN 'naive' THEN 'último valor' WHEN 'seasonal_naive' THEN 'naive estacional' WHEN 'moving_average' THEN 'promedio móvil' ELSE 'suavizamiento exponencial' END || ' tiene el ' || upper(metric) || ' más bajo (' || {PLACES('value', 3)} || ').' AS text FROM best
+ UNION ALL SELECT 'Líneas base evaluadas: Último valor, Naive estacional, Promedio móvil y Suavizamiento exponencial.'
+ UNION ALL SELECT 'Ningún modelo individual tiene el error más bajo en todas las métricas de ambas particiones.' FROM won WHERE NOT has_universal_winner"""),
+    "fold_labels": _test("SELECT DISTINCT fold, 'Partición ' || (fold_rank + 1) AS label FROM m"),
     "report_table_rows": _test(f"SELECT 'Partition ' || (fold_rank + 1) AS partition, model, {', '.join(f'{PLACES(c, 3)} {c}' for c in ('mae', 'rmse', 'wmape', 'bias'))}, {PLACES('coverage', 2)} coverage, {', '.join(f'{DOTS(c)} {c}' for c in ('available', 'requested', 'evaluated', 'stockout_rows'))} FROM m"),
     "protocol_segments": f"WITH v(fold, i, segment, days) AS (VALUES {SEGMENTS}), w AS (SELECT *, round_even(100.0 * days / sum(days) OVER (PARTITION BY fold), 1) share FROM v) SELECT fold, segment, days::INTEGER AS days, (CASE WHEN i = 2 THEN round_even(100.0 - s, 1) ELSE share END)::DOUBLE width FROM (SELECT *, sum(CASE WHEN i < 2 THEN share END) OVER (PARTITION BY fold) s FROM w) w",
     "stockout_share": _panel("SELECT count(*) AS rows, count(*) FILTER (so > 0) stockout_rows, round(100.0 * count(*) FILTER (so > 0) / count(*), 6)::DOUBLE stockout_percent FROM p"),

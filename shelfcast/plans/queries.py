@@ -316,6 +316,16 @@ def observations(spark, d):
     return report.observations(cells(spark, d)).select("text")
 
 
+@query
+def localized_observations(spark, d):
+    return report.localized_observations(cells(spark, d)).select("text")
+
+
+@query
+def fold_labels(spark, d):
+    return report.fold_labels(cells(spark, d))
+
+
 @query
 def report_table_rows(spark, d):
     return report.table_rows(cells(spark, d))

@@ -136,6 +136,14 @@ def load_report(path: str, contract: Contract) -> BenchmarkReport:
     return BenchmarkReport.from_dict(data, contract)
 
 
+def write_report(data: dict[str, Any], folder: str, contract: Contract) -> str:
+    """Writes a report that passes all checks under the contract's name, byte for byte the same for the same data; its path."""
+    BenchmarkReport.from_dict(data, contract)
+    path = Path(folder) / contract.file_name
+    path.write_text(json.dumps(data, sort_keys=True, ensure_ascii=False, indent=1) + "\n", encoding="utf-8")
+    return str(path)
+
+
 def results_frame(spark: SparkSession, report: BenchmarkReport) -> DataFrame:
     names = [f["fold"] for f in report.folds]
     number = lambda v: None if v is None else float(v)
@@ -210,6 +218,75 @@ def observations(results: DataFrame) -> DataFrame:
     return lines.union(last)
 
 
+@dataclass(frozen=True)
+class Wording:
+    """Public texts in one language. Sentences are patterns of {fold}, {model}, {metric} and {value}, and of {models} and {last}."""
+
+    fold: str
+    models: dict[str, str]
+    smallest: str
+    evaluated: str
+    no_winner: str
+
+
+# The public names and sentences of the Spanish tables.
+SPANISH = Wording(
+    fold="Partición {}",
+    models={"naive": "Último valor", "seasonal_naive": "Naive estacional", "moving_average": "Promedio móvil", "ses": "Suavizamiento exponencial"},
+    smallest="En la {fold}, el {model} tiene el {metric} más bajo ({value}).",
+    evaluated="Líneas base evaluadas: {models} y {last}.",
+    no_winner="Ningún modelo individual tiene el error más bajo en todas las métricas de ambas particiones.",
+)
+
+
+def translated(texts: Sequence[str], words: dict[str, str]) -> list[str]:
+    """The texts in another language; one without a translation is an error, so that nothing is shown as it stands."""
+    missing = [t for t in texts if t not in words]
+    _need(not missing, f"no translation for {missing}")
+    return [words[t] for t in texts]
+
+
+def _pattern(pattern: str, **values: Column) -> Column:
+    """A sentence with its places filled."""
+    out, rest = [], pattern
+    while "{" in rest:
+        before, _, rest = rest.partition("{")
+        name, _, rest = rest.partition("}")
+        out += [F.lit(before), values[name]]
+    return F.concat(*out, F.lit(rest))
+
+
+def localized_observations(results: DataFrame, words: Wording = SPANISH) -> DataFrame:
+    """position, text: the observations in another language, with public names of folds and models. A model without a name is an error."""
+    ranked = results.select("model_rank", "model").distinct().orderBy("model_rank").collect()
+    names = translated([r["model"] for r in ranked], words.models)
+    spark = results.sparkSession
+    named = spark.createDataFrame([(r["model"], name.lower()) for r, name in zip(ranked, names, strict=True)], "model string, public string")
+    text = _pattern(words.smallest, fold=F.format_string(words.fold.replace("{}", "%d"), F.col("fold_rank") + 1), model=F.col("public"), metric=F.upper("metric"), value=fixed("value", 3))
+    lines = smallest(results).join(F.broadcast(named), "model").select((F.col("metric_rank") * 1000 + F.col("fold_rank")).cast("long").alias("position"), text.alias("text"))
+    listed = [(1_000_000, words.evaluated.replace("{models}", ", ".join(names[:-1])).replace("{last}", names[-1]))] if names else []
+    last = universal_winner(results).where("not has_universal_winner").select(F.lit(1_000_001).cast("long").alias("position"), F.lit(words.no_winner).alias("text"))
+    return lines.union(spark.createDataFrame(listed, "position long, text string")).union(last)
+
+
+def fold_labels(results: DataFrame, words: Wording = SPANISH) -> DataFrame:
+    """fold, label: the public name of each fold, numbered in report order."""
+    return results.select("fold_rank", "fold").distinct().select("fold", F.format_string(words.fold.replace("{}", "%d"), F.col("fold_rank") + 1).alias("label"))
+
+
+def agreed_stockouts(results: DataFrame) -> dict[str, int]:
+    """The stockout rows of each fold, on which all models must agree; else an error."""
+    found = results.groupBy("fold_rank", "fold").agg(F.min("stockout_rows").alias("a"), F.max("stockout_rows").alias("z")).orderBy("fold_rank").collect()
+    for r in found:
+        _need(r["a"] == r["z"], f"models differ on the stockout rows of {r['fold']}: {r['a']} to {r['z']}")
+    return {r["fold"]: r["a"] for r in found}
+
+
+def stockout_summary(results: DataFrame, facts: dict[str, Any]) -> dict[str, Any]:
+    """What the whole panel and each fold's test rows say of stockouts. facts: the coverage of a report."""
+    return {k: facts[k] for k in ("stockout_rows", "rows_with_any_observed_stockout_status", "rows")} | {"test_rows_by_fold": agreed_stockouts(results)}
+
+
 def stockout_facts(results: DataFrame) -> DataFrame:
     """fold, stockout_rows on which all models agree; null where they don't."""
     return results.groupBy("fold").agg(F.when(F.min("stockout_rows") == F.max("stockout_rows"), F.max("stockout_rows")).alias("stockout_rows"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Literal
+
 from pyspark.sql import types as T
 
 # Fixed values.
@@ -26,6 +28,9 @@ WMAPE_NO_EVALUABLE = "no_evaluable_predictions"
 PROTOCOL_VERSION = "baseline-evaluation-v2"
 MODELS = ("naive", "seasonal_naive", "moving_average", "ses")
 PARTS = ("train", "validation", "test")
+FIT_TRAIN, FIT_TRAIN_AND_VALIDATION = "train", "train+validation"
+ObservationState = Literal["uncensored", "censored_or_partial"]
+EvaluationPartition = Literal["validation", "test"]
 
 RAW = T.StructType([
     T.StructField("product_id", T.StringType()),
@@ -47,3 +52,39 @@ PANEL = T.StructType([
     T.StructField("stockout_hours_6_22", T.IntegerType()),
     T.StructField("revision", T.StringType()),
 ])
+
+TARGET_ROW = T.StructType([
+    T.StructField("product_id", T.StringType()),
+    T.StructField("product_is_int", T.BooleanType()),
+    T.StructField("dt", T.DateType()),
+    T.StructField(TARGET, T.DoubleType()),
+    T.StructField("stockout_hours_6_22", T.IntegerType()),
+    T.StructField("observation_state", T.StringType()),
+    T.StructField("revision", T.StringType()),
+    T.StructField("latent_demand_estimate", T.DoubleType()),
+])
+
+FORECAST_ROW = T.StructType([
+    T.StructField("model", T.StringType()),
+    T.StructField("model_rank", T.IntegerType()),
+    T.StructField("product_id", T.StringType()),
+    T.StructField("dt", T.DateType()),
+    T.StructField(TARGET, T.DoubleType()),
+    T.StructField("prediction", T.DoubleType()),
+    T.StructField("prediction_state", T.StringType()),
+    T.StructField("unavailable_reason", T.StringType()),
+    T.StructField("stockout_hours_6_22", T.IntegerType()),
+    T.StructField("observation_state", T.StringType()),
+    T.StructField("revision", T.StringType()),
+])
+
+METRICS_ROW = T.StructType([
+    *[T.StructField(c, T.LongType()) for c in ("requested", "available", "unavailable", "evaluated")],
+    T.StructField("coverage", T.DoubleType()),
+    T.StructField("stockout_rows", T.LongType()),
+    *[T.StructField(c, T.DoubleType()) for c in ("mae", "rmse", "wmape", "bias")],
+    T.StructField("wmape_status", T.StringType()),
+])
+
+MISSING_ROW = T.StructType([T.StructField("product_id", T.StringType()), T.StructField("dates", T.ArrayType(T.DateType()))])
+HISTORY_ROW = T.StructType([T.StructField("product_id", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("observed_days", "observed_span_days", "required_days", "required_span_days")]])

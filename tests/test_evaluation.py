@@ -180,3 +180,45 @@ def test_run_refuses(spark, rows):
         evaluation.SplitConfig((FOLDS[0], FOLDS[0]), "test")
     with pytest.raises(ValueError):
         evaluation.SplitConfig(FOLDS, "train")
+
+
+def test_tables_by_product_stay_off_the_driver(rows):
+    made = evaluation.run_baseline_evaluation(rows, config())
+    assert "missing_per_product" not in made.fold_statuses[0] and set(made.tables) == {"missing_per_product", "insufficient_history", "insufficient_fit_history"}
+    few, all_ = made.to_dict(products=False), made.to_dict()
+    assert "missing_per_product" not in few["fold_statuses"][0] and len(all_["fold_statuses"][0]["missing_per_product"]) == 2
+    assert all("insufficient_fit_history" in r for r in all_["results"])
+
+
+def test_own_models_are_evaluated(rows):
+    def last_but_one(history, dt, params):
+        return F.try_element_at(history, F.lit(-2))["y"]
+
+    baselines.register("last_but_one", last_but_one)
+    try:
+        got = {r["model"]: r for r in evaluation.evaluation_grid(rows, FOLDS[:1], "test", evaluation.BaselineConfig(extra=("last_but_one",))).collect()}
+        assert list(got) == ["naive", "seasonal_naive", "moving_average", "ses", "last_but_one"] or len(got) == 5
+        assert got["last_but_one"]["mae"] == 3.0 and got["naive"]["mae"] == 2.0
+        assert {r["model"] for r in evaluation.evaluation_grid(rows, FOLDS[:1], "test").collect()} == {"naive", "seasonal_naive", "moving_average", "ses"}
+        assert "last_but_one" not in {r["model"] for r in evaluation.forecasts(rows, FOLDS[:1], "test").select("model").distinct().collect()}
+    finally:
+        del baselines.BASELINES["last_but_one"]
+    with pytest.raises(ValueError, match="registered"):
+        evaluation.BaselineConfig(extra=("last_but_one",))
+
+
+def test_split_has_its_reports(spark):
+    rows = panel(spark, [day("A", D(d), 1) for d in (1, 2, 4, 5, 7, 20)] + [day("B", D(7), 1)])
+    split = splits.split_temporal(rows, Fold("f", D(1), D(4), D(6), D(7), min_history_days=2))
+    assert split.train.count() == 3 and split.validation.count() == 2 and split.test.count() == 0 and split.train.columns == rows.columns
+    assert split.excluded_out_of_range == 2 and sorted(r["dt"] for r in split.missing_dates.collect()) == [D(3), D(6)]
+    assert {r["product_id"]: r["observed_days"] for r in split.insufficient_history.collect()} == {"B": 0}
+    assert {r["product_id"]: len(r["dates"]) for r in split.missing_per_product.collect()} == {"A": 3, "B": 6}
+    with pytest.raises(errors.InvalidBoundaryOrderError):
+        splits.split_temporal(rows, Fold("f", D(1), D(4), D(4), D(7)))
+
+
+def test_guards_find_planted_violations(rows):
+    bad = [Fold("bad", D(1), D(10), D(11), D(13), D(9), D(14))]
+    assert sorted((r["product_id"], r["dt"]) for r in evaluation.overlap(rows, bad, "test").collect()) == [("A", D(d)) for d in range(9, 14)]
+    assert sorted((r["product_id"], r["dt"]) for r in evaluation.future_violations(rows, bad, "test").collect()) == [("A", D(d)) for d in range(9, 14)]

@@ -3,10 +3,13 @@ import json
 from datetime import date
 
 import pytest
+from helpers import evaluation_rows, panel
+from pyspark.sql import functions as F
 
+import shelfcast
 from shelfcast.errors import BenchmarkReportError
-from shelfcast.operators.splits import derive_folds
-from shelfcast.plans import report
+from shelfcast.operators.splits import Fold, derive_folds
+from shelfcast.plans import evaluation, report
 
 CONTRACT = report.Contract("evaluation/v1", "bounded-v2")
 MODELS = ["naive", "seasonal_naive", "moving_average", "ses"]
@@ -93,3 +96,42 @@ def test_fixed_rounds_the_binary_value(spark):
     values = [0.825, 0.125, 0.375, 2.675, 1.005, -0.0001, 0.5745, 1234.5675, 0.0, -17.1235, 1e-9, None]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", report.fixed("v", 2).alias("a"), report.fixed("v", 3).alias("b")).collect()
     assert [(r["a"], r["b"]) for r in rows] == [("—", "—") if v is None else (f"{v:.2f}", f"{v:.3f}") for v in values]
+
+
+def test_an_evaluation_can_be_written_and_loaded(spark, tmp_path):
+    rows = panel(spark, evaluation_rows())
+    d = lambda x: date(2024, 1, x)
+    folds = (Fold("fold-1", d(1), d(10), d(11), d(13), d(14), d(16)), Fold("fold-2", d(1), d(13), d(14), d(16), d(17), d(19)))
+    config = evaluation.EvaluationConfig("bounded-v2", "s", "test-rev", evaluation.SplitConfig(folds, "test"))
+    data = evaluation.benchmark_report(rows, config, CONTRACT, dataset="d", mode="bounded", max_rows=1000, rule="as given", limitations=["short"])
+    path = report.write_report(data, str(tmp_path), CONTRACT)
+    got = report.load_report(path, CONTRACT)
+    assert got.data == json.loads(json.dumps(data)) and len(got.results) == 8 and got.data["coverage"]["rows"] == 26 and got.data["rows_loaded"] == 26
+    assert got.data["seasonal_naive_by_fold"]["fold-2"]["available"] == 3
+    table = report.results_frame(spark, got)
+    assert report.stockout_summary(table.where("model = 'naive'"), got.data["coverage"])["test_rows_by_fold"] == {"fold-1": 1, "fold-2": 2}
+    with pytest.raises(BenchmarkReportError, match="differ"):
+        report.agreed_stockouts(table)  # the seasonal model sees fewer rows of fold-2
+    again = evaluation.benchmark_report(rows.repartition(5), config, CONTRACT, dataset="d", mode="bounded", max_rows=1000, rule="as given", limitations=["short"])
+    assert again == data
+
+
+def test_texts_in_another_language(spark):
+    rows = report.results_frame(spark, report.BenchmarkReport.from_dict(frozen(), CONTRACT))
+    texts = [r["text"] for r in report.localized_observations(rows).orderBy("position").collect()]
+    assert texts[0] == "En la Partición 1, el suavizamiento exponencial tiene el MAE más bajo (0.538)." and len(texts) == 8
+    assert texts[6] == "Líneas base evaluadas: Último valor, Naive estacional, Promedio móvil y Suavizamiento exponencial." and texts[7].startswith("Ningún modelo")
+    assert {r["fold"]: r["label"] for r in report.fold_labels(rows).collect()} == {"fold-1": "Partición 1", "fold-2": "Partición 2"}
+    assert report.translated(["a"], {"a": "b"}) == ["b"]
+    with pytest.raises(BenchmarkReportError, match="no translation"):
+        report.translated(["a", "c"], {"a": "b"})
+    with pytest.raises(BenchmarkReportError):
+        report.localized_observations(rows.withColumn("model", F.lit("other")))
+
+
+def test_public_names():
+    for name in shelfcast.__all__:
+        assert getattr(shelfcast, name) is not None, name
+    assert {"run_baseline_evaluation", "split_temporal", "TargetRow", "REQUIRED_MODEL_ORDER", "EvaluationSplitConfig"} <= set(shelfcast.__all__)
+    with pytest.raises(AttributeError):
+        shelfcast.nothing  # noqa: B018
