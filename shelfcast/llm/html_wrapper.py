@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.llm import html_tree as h
-from shelfcast.llm.common import cut, ship
+from shelfcast.llm.common import cut, drop, ship
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 SKELETONS = "host string, code long, skeleton string, layout long, n long"
@@ -258,7 +258,8 @@ def constants(pages: DataFrame, texts: DataFrame, how: Wrapper) -> DataFrame:
 
 def induce(rows: DataFrame, how: Wrapper) -> DataFrame:
     """host, grp, template (JSON) of all hosts in rows (host, html)."""
-    hosts, best = grouped(cut(skeletons(rows, how), "skeletons"), how)
+    seen = [cut(skeletons(rows, how), "skeletons")]
+    hosts, best = grouped(seen[0], how)
     hosts, best = cut(hosts, "hosts"), cut(best, "trees")
     first = cut(hosts.join(best.select("grp", F.to_json(F.struct("skeleton")).alias("template")), "grp").select("host", "grp", "template"), "templates")
     found = cut(aligned(rows, first, how), "blocks")
@@ -266,7 +267,9 @@ def induce(rows: DataFrame, how: Wrapper) -> DataFrame:
     texts = cut(each.groupBy("grp", "node", "code").agg(F.count(F.lit(1)).alias("n"), F.max("plain").alias("plain"), F.max("chars").alias("chars")), "texts")
     fixed = constants(found, texts, how).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("node", "code"))).alias("fixed"))
     made = main_parts(best, texts, how).join(fixed, "grp", "left").select("grp", F.to_json(F.struct("skeleton", "top", "links", "fixed")).alias("template"))
-    return cut(hosts.join(made, "grp").select("host", "grp", "template"), "templates")
+    out = cut(hosts.join(made, "grp").select("host", "grp", "template"), "templates")
+    drop(*seen, hosts, best, first, found, texts)
+    return out
 
 
 def _host(url: Column) -> Column:

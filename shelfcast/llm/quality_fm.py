@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfcast.llm.common import plus, ship
+from shelfcast.llm.common import plus, ship, unused
 
 #: Upper ends of the ranges of each statistic, the last range being open.
 RANGES = {
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, how: Machine = Machine()) -> Weights
 def with_score(docs: DataFrame, weights: Weights, name: str, how: Machine = Machine()) -> DataFrame:
     """docs with their scores in the column name. A null text counts as empty."""
     ship(docs.sparkSession)
-    read = docs.select("*", *[c.alias(f"__in{i}") for i, c in enumerate(_inputs(docs))])
+    read = docs.select("*", *[c.alias(x) for x, c in zip(unused(docs, "text_in", "declared_in"), _inputs(docs), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,4 +215,5 @@ def classify(docs: DataFrame, labels: DataFrame, how: Machine = Machine()) -> Da
 
 def keep(docs: DataFrame, labels: DataFrame, how: Machine = Machine()) -> DataFrame:
     """The rows of docs that score how.threshold or more, with the columns of docs."""
-    return with_score(docs, fit(docs, labels, how), "__score", how).where(F.col("__score") >= how.threshold).select(*docs.columns)
+    (score,) = unused(docs, "score")
+    return with_score(docs, fit(docs, labels, how), score, how).where(F.col(score) >= how.threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

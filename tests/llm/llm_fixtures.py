@@ -6,7 +6,7 @@ SMALL = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 997}x{i % 31}" for i in range(40_000))
 PARAGRAPH = " ".join(f"shared{i}" for i in range(60))
 #: Columns that operators might be tempted to use themselves.
-EXTRA = ["score", "size", "d", "t", "h", "fp", "words", "places", "shard", "piece", "text_crc32", "fingerprint", "component_id", "failed_rule", "kept", "i", "n", "x", "seq", "sequence_id"]
+EXTRA = ["score", "size", "d", "t", "h", "fp", "words", "places", "shard", "piece", "text_crc32", "fingerprint", "component_id", "failed_rule", "kept", "i", "n", "x", "seq", "sequence_id", "__t", "__fp", "__row", "__score", "__in0", "text_in", "declared_in", "row", "salt", "at", "hashed", "first", "_fp", "l", "r"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in EXTRA)
 
 TEXTS = [

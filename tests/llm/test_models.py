@@ -25,6 +25,58 @@ def test_pair_sum_identity():
     assert w.raw(idx, val, np.array([0]))[0] == pytest.approx(0.3 + w.linear[idx] @ val + pairs)
 
 
+def plain_machine(rows, labels, how):
+    """Training and scoring with every pair written out, one row and one weight at a time."""
+    size = (1 << how.hash_bits) + quality_fm.N_STATS
+    rng = np.random.default_rng(how.seed)
+    prior = min(0.99, max(0.01, sum(labels) / len(labels)))
+    bias, w, v = float(np.log(prior / (1 - prior))), [0.0] * size, rng.normal(0, 0.01, (size, how.factors)).tolist()
+    first, second = [[[0.0] * (how.factors + 1) for _ in range(size)] for _ in range(2)]
+
+    def raw(x):
+        pairs = sum(sum(v[i][f] * v[j][f] for f in range(how.factors)) * a * b for k, (i, a) in enumerate(x) for j, b in x[:k])
+        return bias + sum(w[i] * a for i, a in x) + pairs
+
+    def sigmoid(z):
+        return 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))
+
+    step = 0
+    for _ in range(how.epochs):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(rows), how.batch):
+            pick = order[at : at + how.batch]
+            grad, errors = {}, 0.0
+            for r in pick:
+                error = (sigmoid(raw(rows[r])) - labels[r]) / len(pick)
+                errors += error
+                for i, a in rows[r]:
+                    g = grad.setdefault(i, [0.0] * (how.factors + 1))
+                    g[0] += error * a
+                    for f in range(how.factors):
+                        g[f + 1] += error * a * sum(v[j][f] * b for j, b in rows[r] if j != i)
+            step += 1
+            for i, g in grad.items():
+                now = [w[i], *v[i]]
+                for f in range(how.factors + 1):
+                    d = g[f] + how.decay * now[f]
+                    first[i][f] = 0.9 * first[i][f] + 0.1 * d
+                    second[i][f] = 0.999 * second[i][f] + 0.001 * d * d
+                    now[f] -= how.rate * (first[i][f] / (1 - 0.9**step)) / (np.sqrt(second[i][f] / (1 - 0.999**step)) + 1e-8)
+                w[i], v[i] = now[0], now[1:]
+            bias -= how.rate * errors
+    return [sigmoid(raw(x)) for x in rows]
+
+
+def test_classifier_against_plain():
+    how = quality_fm.Machine(hash_bits=6, factors=3, epochs=3, batch=4)
+    texts = ["the cat sat on the mat and slept.", "buy### now$$$ cheap%%%!!", "a plain sentence of words, quite long enough.", "spam spam spam spam", "", "one two three four five six seven", "### $$$", "The End. Of it all."] * 2
+    labels = np.array([1.0, 0, 1, 0, 0, 1, 0, 1] * 2)
+    rows = [quality_fm.features(t, len(t) + i % 3, how) for i, t in enumerate(texts)]
+    got = quality_fm.train(rows, labels, how).score(rows)
+    want = plain_machine([[(int(i), float(a)) for i, a in zip(*r, strict=True)] for r in rows], labels.tolist(), how)
+    assert got == pytest.approx(want, abs=1e-9) and len(set(np.round(got, 6))) > 4
+
+
 @needs_tables
 def test_classifier_held_out(spark):
     documents, labels = table(spark, SF, "documents"), table(spark, SF, "labels")

@@ -4,6 +4,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
 from llm_fixtures import TEXTS, docs, empty, rows
 
 from shelfcast.llm import license_scan, sharding
@@ -122,6 +123,43 @@ def test_shards_hold_the_mixture(spark):
     assert place == sorted(place)
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of an int and longs: each value is hashed with the hash before it as the seed; nulls change nothing."""
+    h = 42
+    for i, v in enumerate(values):
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.to_bytes(4 if i == 0 else 8, "little", signed=True), h)
+    return h
+
+
+def plain_shards(given, n, seed=42):
+    """Rows as (doc_id, text, source): sorted by the seeded key in each source, then all by fractional rank, then cut."""
+    by = defaultdict(list)
+    for i, t, source in given:
+        raw = (t or "").encode()
+        crc, size = zlib.crc32(raw), len(raw) + 16
+        by[source].append((spark_hash(seed, i, crc, size) >> 1, (i is not None, i or 0), crc, size, i))
+    placed = []
+    for source, held in by.items():
+        for r, row in enumerate(sorted(held)):
+            placed.append(((2 * r + 1) / (2 * len(held)), (source is not None, source or ""), row))
+    out, slots = Counter(), Counter()
+    for p, (_, _, (_, _, crc, size, i)) in enumerate(sorted(placed)):
+        shard = p * n // len(placed)
+        out[(i, size, crc, shard, slots[shard])] += 1
+        slots[shard] += 1
+    return out
+
+
+def test_shards_against_plain(spark):
+    rng = random.Random(9)
+    given = [(i, f"text {i % 50}" if i % 7 else None, rng.choice(["a", "a", "a", "b", "c", None])) for i in range(700)] + [(5, "twice", "a")] * 3 + [(None, "no id", "b")] * 2
+    df = spark.createDataFrame(given, "doc_id long, text string, source string")
+    for n in (7, 40):
+        got = Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.interleave(df, sharding.Sharding(shards=n)).collect())
+        assert got == plain_shards(given, n)
+
+
 def test_shards_of_awkward_rows(spark):
     check_shards([(r[0], r[1]) for r in rows()], sharding.interleave(docs(spark)).collect(), 40)
     assert sharding.interleave(empty(spark)).count() == 0
