@@ -157,19 +157,18 @@ def chain(pivots: np.ndarray) -> list[int]:
 
 
 def divided(sizes: dict[int, int], row: list[int], block: int) -> dict[int, tuple[int, int]]:
-    """The first block of each cell and the number of blocks that it has: cells that follow each other share a block up to its size, a larger cell is divided among blocks of its own."""
-    out, number, held = {}, 0, 0
-    for cell in row:
-        n = sizes.get(cell, 0)
-        if n > block:
-            number, held = number + bool(held), 0
-            out[cell] = number, -(-n // block)
-            number += out[cell][1]
-        elif n:
-            if held + n > block:
-                number, held = number + 1, 0
-            out[cell] = number, 1
-            held += n
+    """The first block of each cell and the number of blocks that it has: cells that follow each other share blocks of about equal size, a cell larger than a block is divided among blocks of its own."""
+    small = [(c, sizes[c]) for c in row if 0 < sizes.get(c, 0) <= block]
+    total = sum(n for _, n in small)
+    number = -(-total // block)
+    out, before = {}, 0
+    for c, n in small:
+        out[c] = (before + n // 2) * number // total, 1
+        before += n
+    for c in row:
+        if sizes.get(c, 0) > block:
+            out[c] = number, -(-sizes[c] // block)
+            number += out[c][1]
     return out
 
 
